@@ -3,11 +3,13 @@ connected components and the word rules."""
 
 from __future__ import annotations
 
+import pickle
 import shutil
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 # Functions sent to executors travel by value: executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
 
@@ -59,6 +63,18 @@ def sweep(spark: SparkSession) -> None:
         shutil.rmtree(_OWN_FOLDER.pop(), ignore_errors=True)
 
 
+def shared(spark: SparkSession, value: T) -> Callable[[], T]:
+    """Broadcast any value; classes travel with it, by value."""
+    sent, here = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get() -> T:
+        if not here:
+            here.append(pickle.loads(sent.value))
+        return here[0]
+
+    return get
+
+
 def empty_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 

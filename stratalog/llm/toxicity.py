@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import batches, key_bitmap, only_in_bitmap, text_rows, written
+from .common import batches, key_bitmap, only_in_bitmap, shared, text_rows, written
 
 DISCOUNT = 0.75
 MARGIN = 0.8
@@ -169,17 +170,25 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def _scored(rows: DataFrame, model: Model, raw: bool = False) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    """rows, whose last column is text, with that column replaced by score."""
+    get = shared(rows.sparkSession, model)
 
     def score(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = get()
         for b in it:
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
-                texts = part.column(1).to_pylist()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array((m.raw_scores if raw else m.scores)(texts))], ["doc_id", "score"])
+                texts = part.column(part.num_columns - 1).to_pylist()
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array((m.raw_scores if raw else m.scores)(texts), pa.float64())], [*part.schema.names[:-1], "score"])
 
-    return rows.mapInArrow(score, "doc_id long, score double")
+    return rows.mapInArrow(score, T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that score under 0.5; as toxicity()."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text")
+    return _scored(rows.select("row", text), train(docs, labels)).where("score < 0.5").select("row.*")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
