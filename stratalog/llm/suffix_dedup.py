@@ -215,37 +215,34 @@ def _emit(rows: Iterable[pa.RecordBatch], reps: np.ndarray, files: np.ndarray |
 
 
 def _match(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, s, doc_id) -> segments equal to one of a smaller document
-    (repeat), and one of each content of a file with several (else). Nothing but the
-    last content and its first row is carried between batches."""
-    last = None  # h, s, doc_id of the first row of the running content, and that row until it is sent
-    pending = None
+    """Rows sorted by (h, s, doc_id) -> segments whose content is in a smaller document
+    (whole), and of a file with several contents those of each content's smallest document
+    (else). Between batches the running content's rows in its smallest document are
+    carried, or one of them once they are sent."""
+    names = ("h", "s", "doc_id", "t", "lo", "n")
+    carried, sent, known_mixed = [np.zeros(0, np.int64)] * 6, False, False
     for b in rows:
         if not b.num_rows:
             continue
-        h, s, doc, t, lo, n = (c.to_numpy() for c in b.columns)
-        if last is not None:
-            h, s, doc, t, lo, n = (np.concatenate(([x], c)) for x, c in zip(last, (h, s, doc, t, lo, n), strict=True))
-        carried = last is not None
-        first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-        start = np.flatnonzero(first)
-        lowest = doc[start][np.cumsum(first) - 1]
-        repeat = doc > lowest
-        # a content is sent if another of the same file comes before or after it
-        hs = h[start]
-        alike = hs[1:] == hs[:-1]
-        send = np.zeros(len(start), bool)
-        send[1:] |= alike
-        send[:-1] |= alike
-        if carried and not pending:
-            send[0] = False
-        out = np.concatenate([np.flatnonzero(repeat), start[send]])
-        kind = np.concatenate([np.ones(repeat.sum(), bool), np.zeros(send.sum(), bool)])
-        yield batches({k: (v[out], pa.int64()) for k, v in (("h", h), ("s", s), ("doc_id", doc), ("t", t), ("lo", lo), ("n", n))} | {"whole": (kind, pa.bool_())})
-        z = start[-1]
-        pending = not send[-1] and (len(start) > 1 or not carried or pending)
-        last = (h[z], s[z], doc[z], t[z], lo[z], n[z])
+        old = len(carried[0])
+        cols = [np.concatenate((x, c.to_numpy())) for x, c in zip(carried, b.columns, strict=True)]
+        h, s, doc = cols[:3]
+        new_file = np.concatenate(([True], h[1:] != h[:-1]))
+        new = new_file | np.concatenate(([True], s[1:] != s[:-1]))
+        start = np.flatnonzero(new)
+        low = doc == doc[start][np.cumsum(new) - 1]
+        file = np.cumsum(new_file) - 1
+        mixed_file = np.bincount(file[start]) > 1
+        if old and h[0] == h[old - 1] and known_mixed:
+            mixed_file[0] = True
+        send = low & mixed_file[file]
+        if sent:
+            send[:old] = False
+        out = np.flatnonzero(~low | send)
+        yield batches({k: (v[out], pa.int64()) for k, v in zip(names, cols, strict=True)} | {"whole": (~low[out], pa.bool_())})
+        known_mixed = sent = bool(mixed_file[-1])
+        keep = start[-1] + np.flatnonzero(low[start[-1] :])
+        carried = [c[keep[:1] if sent else keep] for c in cols]
 
 
 def _cut_segments(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
