@@ -24,7 +24,7 @@ from .common import batches, in_bitmap, key_bitmap, written
 
 #: Leading tokens on the way to a leaf, share of agreeing positions, and the least
 #: different texts and tokens of a template that is dropped.
-LEADING, ALIKE, LEAST_TEXTS, LEAST_TOKENS = 3, 0.7, 10, 3
+LEADING, ALIKE, LEAST_TEXTS, LEAST_TOKENS = 2, 0.7, 10, 3
 #: Leading tokens and number of different lines of a leaf from which it is split.
 DEEPER, LEAF_LINES = 8, 2_000
 ANY = "<*>"
