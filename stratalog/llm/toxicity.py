@@ -82,7 +82,7 @@ class Model:
 
     def raw_scores(self, texts: list[str]) -> np.ndarray:
         known, split = self.known, [words_of(t) for t in texts]
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         new = list({w for ws in split for w in ws} - known.keys())
         for i in range(0, len(new), 20_000):
@@ -119,7 +119,7 @@ def _count_words(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in rows:
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             counts[toxic].update(words_of(text))
-            if len(counts[0]) + len(counts[1]) > 300_000:
+            if len(counts[0]) + len(counts[1]) > 150_000:
                 yield out()
                 counts[0].clear(), counts[1].clear()
     yield out()
@@ -176,8 +176,8 @@ def _scored(rows: DataFrame, model: Model, raw: bool = False) -> DataFrame:
     def score(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = get()
         for b in it:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
+            for i in range(0, b.num_rows, 250):
+                part = b.slice(i, 250)
                 texts = part.column(part.num_columns - 1).to_pylist()
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array((m.raw_scores if raw else m.scores)(texts), pa.float64())], [*part.schema.names[:-1], "score"])
 
