@@ -123,16 +123,50 @@ def only_in_bitmap(df: DataFrame, key: str, words: np.ndarray) -> DataFrame:
     return df.mapInArrow(keep, df.schema)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+#: Edges up to which one task finishes the components (16 MB); beyond, star rounds go on.
+ONE_TASK_EDGES = 1_000_000
+
+
+def _union(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict = {}
+
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    schema = None
+    for b in rows:
+        schema = b.schema
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            p, q = find(u), find(v)
+            root[max(p, q)] = min(p, q)
+    if root:
+        nodes = list(root)
+        for i in range(0, len(nodes), 50_000):
+            part = nodes[i : i + 50_000]
+            yield batches({"node": (part, schema.field(0).type), "component": ([find(x) for x in part], schema.field(0).type)})
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", one_task_edges: int | None = None, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of an edge.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014), each written to
     the shared folder. A round is two aggregations with map-side combining and two joins
-    whose large side Spark may split, so no node's neighbours meet in one task.
+    whose large side Spark may split, so no node's neighbours meet in one task. Only where
+    the counted edges are few does one task finish by union-find.
     """
+    few = ONE_TASK_EDGES if one_task_edges is None else one_task_edges
     e = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
+    kind = e.schema["u"].dataType.simpleString()
     seen = None
     for _ in range(most_rounds):
+        now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+        if now[0] <= few:
+            return e.coalesce(1).mapInArrow(_union, f"node {kind}, component {kind}")
+        if now == seen:
+            break
+        seen = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -140,10 +174,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         e = written(small.distinct(), "edges")
-        now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError("components did not settle")
     stars = e.groupBy("u").agg(F.min("v").alias("m"))
