@@ -234,6 +234,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     side = F.pmod(F.xxhash64("c"), F.col("k"))
     dealt = member.join(chunks, "g").select("g", "c", "docs", "shingles", side.alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
     dealt = dealt.select("g", "c", "docs", "shingles", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    dealt = dealt.repartition("g", "i", "j")  # else all chunks of a group stay where its join by g left them
     found = written(dealt.groupBy("g", "i", "j").applyInArrow(_join_chunks, "c long, root long, linked long"), "jaccard-links")
 
     reach = components(found.select(F.col("c").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "c", "component": "top"})
