@@ -214,13 +214,13 @@ def oracle_sql() -> dict[str, str]:
         "segment_recycle": _with(m) + "SELECT DISTINCT segment_id, segment_id = 7 AS active FROM mutations WHERE segment_id > 5 OR segment_id = 7",
         "max_log_position": _with(m, _OFFSETS) + "SELECT segment_id, offset_ AS position FROM placed_log ORDER BY 1 DESC, 2 DESC LIMIT 1",
         "encoded_size": _with(m, _MERGED) + f"SELECT key, (sum({_FRAME}) + max(octet_length(encode(key))) + 4)::BIGINT AS bytes FROM merged GROUP BY key",
-        "cells_from_wide_rows": """
+        "cells_from_wide": """
             SELECT 'customer:' || c_custkey AS key, name, value, 0 AS flags FROM (
               SELECT c_custkey, 'c_name' AS name, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment FROM customer
               UNION ALL SELECT c_custkey, 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer) WHERE value IS NOT NULL""",
         "tombstone_cells": _with(m) + f"SELECT DISTINCT key, name, CAST(NULL AS VARCHAR) AS value, CAST({NOW} AS BIGINT) AS ts, 1 AS flags FROM mutations WHERE seq % 10 = 9",
         "row_assembly": _with(m, _MERGED) + "SELECT key, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM merged GROUP BY key",
-        "row_json_view": _with(m, _MERGED) + """
+        "row_json": _with(m, _MERGED) + """
             SELECT key, '{"key":"' || key || '","cells":[' || string_agg('{"name":"' || name || '","value":' || coalesce('"' || value || '"', 'null') || ',"ts":' || ts || ',"tombstone":' || CASE WHEN flags & 1 <> 0 THEN 'true' ELSE 'false' END || '}', ',' ORDER BY name) || ']}' AS json
             FROM merged GROUP BY key""",
         "is_tombstone": _with(m) + "SELECT seq, key, name FROM mutations WHERE flags & 1 <> 0",

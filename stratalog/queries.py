@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import cells as c
 from .functions.tokens import bloom_size_columns, with_crc32c, with_token
 from .operators import bloom, catalog, index, log, lookup, metrics, reconcile
-from .operators.cells import assembled, blast, cells_from_wide, row_json, tombstones
+from .operators import cells as wide
 from .plans import compaction as plan
 from .sources import tables as t
 
@@ -127,27 +127,27 @@ def encoded_size(spark, sf):
 
 
 @query
-def cells_from_wide_rows(spark, sf):
+def cells_from_wide(spark, sf):
     customer = t.table(spark, sf, "customer")
     key = F.concat(F.lit("customer:"), F.col("c_custkey").cast("string"))
-    return cells_from_wide(customer, key, ["c_name", "c_mktsegment", "c_nationkey"], F.lit(0).cast("long"), F.col("c_custkey")).select("key", "name", "value", "flags")
+    return wide.cells_from_wide(customer, key, ["c_name", "c_mktsegment", "c_nationkey"], F.lit(0).cast("long"), F.col("c_custkey")).select("key", "name", "value", "flags")
 
 
 @query
 def tombstone_cells(spark, sf):
     gone = t.mutations(spark, sf).where("seq % 10 = 9").select("key", "name").distinct()
-    return tombstones(gone, F.lit(NOW), F.lit(0).cast("long")).select("key", "name", "value", "ts", "flags")
+    return wide.tombstones(gone, F.lit(NOW), F.lit(0).cast("long")).select("key", "name", "value", "ts", "flags")
 
 
 @query
 def row_assembly(spark, sf):
-    rows = assembled(reconcile.memtable_merge(t.mutations(spark, sf)))
+    rows = wide.assembled(reconcile.memtable_merge(t.mutations(spark, sf)))
     return rows.select("key", F.size("cells").cast("long").alias("n"), F.array_join(F.transform("cells", lambda x: x["name"]), ",").alias("names"))
 
 
 @query
-def row_json_view(spark, sf):
-    return row_json(reconcile.memtable_merge(t.mutations(spark, sf)))
+def row_json(spark, sf):
+    return wide.row_json(reconcile.memtable_merge(t.mutations(spark, sf)))
 
 
 @query
@@ -438,4 +438,4 @@ def crc32c(spark, sf):
 
 @query
 def blast_rows(spark, sf):
-    return blast(spark, 2000)
+    return wide.blast(spark, 2000)
