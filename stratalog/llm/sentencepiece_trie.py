@@ -17,6 +17,7 @@ import re
 import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,13 +68,18 @@ class Pieces:
     by_byte: dict[int, int]
     by_id: list[tuple[str, int]]
     unknown: int
-    longest: int = 0
     #: Score of a character that falls back: below that of any piece.
     fallback: float = 0.0
     known: dict[str, tuple[int, ...]] = field(default_factory=dict)
     raw: list[bytes] = field(default_factory=list)
+    #: Scores of the pieces and, as minus infinity, of all that a piece can end with.
+    tails: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        for piece in self.by_piece:
+            for k in range(1, len(piece)):
+                self.tails.setdefault(piece[k:], float("-inf"))
+        self.tails.update((p, s) for p, (_, s) in self.by_piece.items())
         text = {NORMAL: lambda p: p.replace(MARK, " "), USER: lambda p: p.replace(MARK, " "), UNKNOWN: lambda _: " ⁇ "}
         self.raw = [bytes([int(p[1:-1], 16)]) if k == BYTE else text.get(k, lambda _: "")(p).encode() for p, k in self.by_id]
 
@@ -103,7 +109,7 @@ class Pieces:
         if across:
             raise ValueError(f"pieces that reach over words: {across[:3]}")
         scores = [s for _, s in by_piece.values()]
-        return cls(by_piece, by_byte, by_id, unknown, max(map(len, by_piece), default=0), min(scores, default=0.0) - 10)
+        return cls(by_piece, by_byte, by_id, unknown, min(scores, default=0.0) - 10)
 
     def _bytes(self, char: str) -> tuple[int, ...]:
         if len(self.by_byte) == 256:
@@ -112,7 +118,7 @@ class Pieces:
 
     def search(self, words: Iterable[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
         """The best path of each of the sorted distinct words."""
-        by_piece, longest, fallback = self.by_piece, self.longest, self.fallback
+        by_piece, tails, fallback = self.by_piece, self.tails, self.fallback
         last, score, back = "", [0.0], [0]
         for word in words:
             common, most = 0, min(len(last), len(word))
@@ -121,10 +127,12 @@ class Pieces:
             del score[common + 1 :], back[common + 1 :]
             for end in range(common + 1, len(word) + 1):
                 best, start = score[end - 1] + fallback, end - 1
-                for i in range(max(0, end - longest), end):
-                    hit = by_piece.get(word[i:end])
-                    if hit is not None and score[i] + hit[1] > best:
-                        best, start = score[i] + hit[1], i
+                for i in range(end - 1, -1, -1):
+                    own = tails.get(word[i:end])
+                    if own is None:  # no piece ends like this
+                        break
+                    if score[i] + own >= best:  # of equal scores the longer last piece
+                        best, start = score[i] + own, i
                 score.append(best)
                 back.append(start)
             last, end, path = word, len(word), []
@@ -141,7 +149,7 @@ class Pieces:
         split = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         known = self.known
         known.update(self.search(sorted({w for ws in split for w in ws} - known.keys())))
-        return [np.fromiter((i for w in ws for i in known[w]), np.int32) for ws in split]
+        return [np.array(list(chain.from_iterable(map(known.__getitem__, ws))), np.int32) for ws in split]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: byte pieces joined into characters, marks back into spaces,
