@@ -9,7 +9,7 @@ LOG = "user logged in as {} from the main office"
 def corpus():
     rows = []
     for d in range(30):
-        lines = [f"own line {chr(97 + d % 26)}{'x' * d} of this very text", f"and word{chr(97 + d)} more"]
+        lines = [f"{'x' * (d + 1)} is how the line of this very text begins", f"and word{chr(97 + d)} more"]
         if d >= 5:
             lines.insert(1, LICENCE.format(d))
         if d % 2:
