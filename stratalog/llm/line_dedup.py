@@ -25,6 +25,10 @@ from .common import batches, in_bitmap, key_bitmap, written
 #: Leading tokens on the way to a leaf, share of agreeing positions, and the least
 #: different texts and tokens of a template that is dropped.
 LEADING, ALIKE, LEAST_TEXTS, LEAST_TOKENS = 2, 0.7, 10, 3
+#: Lines of so many tokens are long: fewer different texts suffice.
+LONG_TOKENS, LONG_TEXTS = 20, 2
+#: Lines and characters that a task gathers before it sends them.
+SEND_LINES, SEND_CHARS = 20_000, 4_000_000
 #: Leading tokens and number of different lines of a leaf from which it is split.
 DEEPER, LEAF_LINES = 8, 2_000
 ANY = "<*>"
@@ -58,34 +62,36 @@ def grow(lines: list[list[str]], alike: float = ALIKE) -> list[int]:
     return out
 
 
-def _leaves(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(leaf, t): each leaf that a text reaches, once."""
+def _leaves(rows: Iterable[pa.RecordBatch], least_tokens: int, least_texts: int) -> Iterator[pa.RecordBatch]:
+    """(leaf, least, t): each leaf that a text reaches, once, and the least texts of its templates."""
     for b in rows:
-        leaf, of = [], []
+        leaf, least, of = [], [], []
         for t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            found = {key(leaf_of(w)) for line in text.split("\n") if len(w := line.split()) >= LEAST_TOKENS}
+            found = {key(leaf_of(w)): len(w) >= LONG_TOKENS for line in text.split("\n") if len(w := line.split()) >= least_tokens}
             leaf += found
+            least += [min(LONG_TEXTS, least_texts) if long else least_texts for long in found.values()]
             of += [t] * len(found)
-        yield batches({"leaf": (leaf, pa.int64()), "t": (of, pa.int64())})
+        yield batches({"leaf": (leaf, pa.int64()), "least": (least, pa.int64()), "t": (of, pa.int64())})
 
 
-def _lines(rows: Iterable[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _lines(rows: Iterable[pa.RecordBatch], wanted: np.ndarray, least_tokens: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, t, at, leaf, line, words) of the lines in wanted leaves."""
     for b in rows:
         cols: dict[str, list] = {k: [] for k in ("doc_id", "t", "at", "leaf", "line", "words")}
-        for doc, t, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            for at, line in enumerate(text.split("\n")):
-                words = line.split()
-                if len(words) < LEAST_TOKENS:
-                    continue
-                leaf = key(leaf_of(words))
-                if in_bitmap(wanted, np.array([leaf]))[0]:
+        chars = 0
+        for i in range(b.num_rows):
+            doc, t, text = (c[i].as_py() for c in b.columns)
+            found = [(at, w, key(leaf_of(w))) for at, line in enumerate(text.split("\n")) if len(w := line.split()) >= least_tokens]
+            known = in_bitmap(wanted, np.array([leaf for *_, leaf in found], np.int64))
+            for (at, words, leaf), may in zip(found, known.tolist(), strict=True):
+                if may:
                     plain = " ".join(map(masked, words))
+                    chars += len(plain)
                     for k, v in zip(cols, (doc, t, at, leaf, key(plain), plain), strict=True):
                         cols[k].append(v)
-            if len(cols["at"]) > 20_000:
+            if len(cols["at"]) > SEND_LINES or chars > SEND_CHARS:
                 yield batches({k: (v, pa.string() if k == "words" else pa.int64()) for k, v in cols.items()})
-                cols = {k: [] for k in cols}
+                cols, chars = {k: [] for k in cols}, 0
         yield batches({k: (v, pa.string() if k == "words" else pa.int64()) for k, v in cols.items()})
 
 
@@ -99,14 +105,14 @@ def _templates(group: pa.Table) -> pa.Table:
     return pa.table({"leaf": pa.array(np.full(len(line), group["leaf"][0].as_py())), "line": pa.array(line), "template": pa.array(line[first[found]])})
 
 
-def line_dedup(docs: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFrame:
+def line_dedup(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """All columns of docs with the recurring lines taken out of text (and n_chars, where
     there is such a column, counted anew), as a struct `row`, and n_lines and n_dropped.
 
     Lines are parted by \\n. A template recurs when at least least_texts different texts
-    hold a line of it (copies of a text count once); its lines go from every document but
-    the one with the smallest doc_id, so that a passage survives once. Lines of fewer
-    than three tokens stay. A null text stays null with no lines. Rows with a null doc_id
+    (two, for lines of 20 tokens or more) hold a line of it (copies of a text count once);
+    its lines go from every document but the one with the smallest doc_id, so that a
+    passage survives once. Lines of fewer than least_tokens tokens stay. A null text stays null with no lines. Rows with a null doc_id
     are the last to be kept; repeated rows lose the same lines. An empty table gives an
     empty result; no name of a column of docs can clash with ours.
     """
@@ -115,10 +121,12 @@ def line_dedup(docs: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
-    leaves = rows.select("t", "text").mapInArrow(_leaves, "leaf long, t long").distinct().groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= least_texts)
+    least_tokens = max(1, least_tokens)
+    leaves = rows.select("t", "text").mapInArrow(lambda it: _leaves(it, least_tokens, least_texts), "leaf long, least long, t long").distinct()
+    leaves = leaves.groupBy("leaf").agg(F.min("least").alias("least"), F.count("*").alias("texts")).where("texts >= least")
     leaves = written(leaves, "line-leaves")
     wanted = spark.sparkContext.broadcast(key_bitmap(leaves, "leaf"))
-    lines = rows.select("doc_id", "t", "text").mapInArrow(lambda it: _lines(it, wanted.value), "doc_id long, t long, at long, leaf long, line long, words string")
+    lines = rows.select("doc_id", "t", "text").mapInArrow(lambda it: _lines(it, wanted.value, least_tokens), "doc_id long, t long, at long, leaf long, line long, words string")
     lines = written(lines.join(leaves.select("leaf"), "leaf", "left_semi"), "line-lines")
 
     different = lines.groupBy("leaf", "line").agg(F.min("words").alias("words"))
@@ -132,7 +140,8 @@ def line_dedup(docs: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFrame:
     templates = written(templates, "line-templates")
 
     known = lines.drop("words").join(templates, ["leaf", "line"])
-    many = known.select("leaf", "template", "t").distinct().groupBy("leaf", "template").agg(F.count("*").alias("texts")).where(F.col("texts") >= least_texts)
+    many = known.select("leaf", "template", "t").distinct().groupBy("leaf", "template").agg(F.count("*").alias("texts"))
+    many = many.join(leaves.select("leaf", "least"), "leaf").where("texts >= least")
     first = known.groupBy("leaf", "template").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first"))
     many = many.join(first, ["leaf", "template"]).select("leaf", "template", F.col("first.doc_id").alias("first_doc"))
     gone = known.join(many, ["leaf", "template"]).where("not (doc_id <=> first_doc)")

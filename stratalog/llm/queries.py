@@ -49,7 +49,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(_table(spark, sf_dir, "documents"))
+    out = line_dedup(_table(spark, sf_dir, "documents"), least_tokens=1)
     return out.select("row.doc_id", "row.text", "n_lines", "n_dropped")
 
 

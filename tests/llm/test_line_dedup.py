@@ -76,3 +76,13 @@ def test_table(table):
             left = [d for d, (t, *_) in out.items() if any(" ".join(map(ld.masked, x.split())) == line for x in t.split("\n"))]
             assert len(left) <= 1
     assert len(out) == len(texts)
+
+
+def test_long_lines_of_few_texts_and_short_lines_go(docs):
+    long = " ".join(f"w{chr(97 + i)}" for i in range(25))
+    rows = [(d, f"{'x' * (d + 1)} its own line of this text\nYes .\nEnd\n{long if d < 3 else 'q' * (d + 1) + ' unlike'}") for d in range(12)]
+    out = got(ld.line_dedup(docs(rows), least_tokens=1))
+    assert [d for d in out if long in out[d][0]] == [0]
+    assert [d for d in out if "Yes ." in out[d][0] or "End" in out[d][0]] == [0]
+    assert all(len(out[d][0].split("\n")) == out[d][1] - out[d][2] for d in out)
+    assert out[0][2] == 0 and out[1][2] == 3 and out[5][2] == 2
