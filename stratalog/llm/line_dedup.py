@@ -6,8 +6,9 @@ share of positions at which they agree with a template, and positions that diffe
 variable. Templates that recur across enough different texts are dropped.
 
 Leaves reached by too few texts are left out before any line is sent. A leaf with very
-many different lines is split by further leading tokens, and at last by the whole masked
-line, so no leaf grows with the corpus.
+many different lines is grown in salted parts, and the parts' templates are grouped again
+by the same similarity until one part holds them all. Blocks of positions find the
+templates to compare, so a leaf of unlike lines does not take all pairs.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ LEADING, ALIKE, LEAST_TEXTS, LEAST_TOKENS = 2, 0.7, 10, 3
 LONG_TOKENS, LONG_TEXTS = 20, 2
 #: Lines and characters that a task gathers before it sends them.
 SEND_LINES, SEND_CHARS = 20_000, 4_000_000
-#: Leading tokens and number of different lines of a leaf from which it is split.
-DEEPER, LEAF_LINES = 8, 2_000
+#: Different lines of a leaf that are grown together at first.
+LEAF_LINES = 2_000
 ANY = "<*>"
 
 
@@ -48,18 +49,49 @@ def key(text: str) -> int:
 
 def grow(lines: list[list[str]], alike: float = ALIKE) -> list[int]:
     """Drain's grouping in one leaf: the number of each line's template, in order."""
+    return grown(lines, alike)[0]
+
+
+def grown(lines: list[list[str]], alike: float = ALIKE) -> tuple[list[int], list[list[str]]]:
+    """The number of each line's template, in order, and the templates' tokens.
+
+    A line joins the template that agrees at most positions, the first of equals, if these
+    are the share alike. As it then differs at so many positions at most, it agrees on all
+    of one of so many blocks and one more: only templates filed under an equal block are
+    compared."""
+    if not lines:
+        return [], []
     words: dict[str, int] = {ANY: 0}
-    coded = np.array([[words.setdefault(w, len(words)) for w in line] for line in lines], np.int64)
-    out, stack = [], np.zeros((0, coded.shape[1] if len(lines) else 0), np.int64)
+    coded = np.array([[words.setdefault(w, len(words)) for w in line] for line in lines], np.int32)
+    n = coded.shape[1]
+    need = next(k for k in range(n + 1) if k / n >= alike or k == n)
+    moving = np.flatnonzero((coded != coded[0]).any(0))  # at the others all agree for ever
+    blocks = [b for b in np.array_split(moving, n - need + 1) if len(b)]
+    if len(blocks) <= n - need:  # a line may differ at every moving position
+        blocks = [np.zeros(0, np.int64)]
+    filed: list[dict[bytes, list[int]]] = [{} for _ in blocks]
+    stack, count, out = np.empty((64, n), np.int32), 0, []
     for line in coded:
-        same = (stack == line).mean(1) if len(stack) else np.zeros(0)
-        best = int(same.argmax()) if len(same) else -1
-        if best >= 0 and same[best] >= alike:
-            stack[best] = np.where(stack[best] == line, line, 0)
+        keys = [line[b].tobytes() for b in blocks]
+        near = np.array(sorted({t for f, k in zip(filed, keys, strict=True) for t in f.get(k, ())}), np.int64)
+        same = (stack[near] == line).sum(1)
+        best = int(near[same.argmax()]) if len(near) and same.max() >= need else -1
+        if best < 0:
+            best, count = count, count + 1
+            if best == len(stack):
+                stack = np.concatenate([stack, np.empty_like(stack)])
+            stack[best], old = line, [None] * len(blocks)
         else:
-            best, stack = len(stack), np.vstack([stack, line])
+            old = [stack[best][b].tobytes() for b in blocks]
+            stack[best][stack[best] != line] = 0
+        for f, b, was in zip(filed, blocks, old, strict=True):
+            if (now := stack[best][b].tobytes()) != was:
+                if was is not None:
+                    f[was].remove(best)
+                f.setdefault(now, []).append(best)
         out.append(best)
-    return out
+    names = list(words)
+    return out, [[names[w] for w in row] for row in stack[:count].tolist()]
 
 
 def _leaves(rows: Iterable[pa.RecordBatch], least_tokens: int, least_texts: int) -> Iterator[pa.RecordBatch]:
@@ -96,13 +128,42 @@ def _lines(rows: Iterable[pa.RecordBatch], wanted: np.ndarray, least_tokens: int
 
 
 def _templates(group: pa.Table) -> pa.Table:
-    """Group the different lines of a leaf; a template is named by its first line."""
+    """Group the different lines of a part of a leaf; a template is named by its first line."""
     order = np.argsort(group["line"].to_numpy(), kind="stable")
     line = group["line"].to_numpy()[order]
     words = group["words"].to_pylist()
-    found = np.array(grow([words[i].split(" ") for i in order]), np.int64)
+    found, rows = grown([words[i].split(" ") for i in order])
+    found = np.array(found, np.int64)
     first = np.unique(found, return_index=True)[1]
-    return pa.table({"leaf": pa.array(np.full(len(line), group["leaf"][0].as_py())), "line": pa.array(line), "template": pa.array(line[first[found]])})
+    plain = pa.array([None] * len(line) if not group["open"][0].as_py() else [" ".join(rows[t]) for t in found], pa.string())
+    return pa.table({"leaf": pa.array(np.full(len(line), group["leaf"][0].as_py())), "line": pa.array(line), "template": pa.array(line[first[found]]), "words": plain})
+
+
+def _grown(different: DataFrame) -> DataFrame:
+    """(leaf, line, template) of (leaf, line, words): leaves of many lines in salted parts,
+    whose templates are grouped again, in parts as long as these at least halve them."""
+    done, last, items = None, None, different
+    while True:
+        sizes = items.groupBy("leaf").agg(F.count("*").alias("size"))
+        parts = F.ceil(F.col("size") / LEAF_LINES)
+        if last is not None:
+            sizes = sizes.join(last.select("leaf", F.col("size").alias("before")), "leaf")
+            parts = F.when(F.col("size") * 2 <= F.col("before"), parts).otherwise(1)
+        sizes = written(sizes.withColumn("parts", parts.cast("long")), "line-sizes")
+        dealt = items.join(sizes.select("leaf", "parts"), "leaf").withColumn("part", F.expr("pmod(xxhash64(line, parts), parts)")).withColumn("open", F.col("parts") > 1)
+        step = dealt.groupBy("leaf", "part").applyInArrow(_templates, "leaf long, line long, template long, words string")
+        step = written(step, "line-templates")
+        here = step.select("leaf", "line", "template")
+        if done is None:
+            done = here
+        else:
+            later = here.select("leaf", F.col("line").alias("template"), F.col("template").alias("last"))
+            done = done.join(later, ["leaf", "template"], "left").select("leaf", "line", F.coalesce("last", "template").alias("template"))
+        last = sizes.where("parts > 1")
+        if not last.take(1):
+            return done
+        items = step.where("words is not null").groupBy("leaf", F.col("template").alias("line")).agg(F.first("words").alias("words"))
+        done = written(done, "line-done")
 
 
 def line_dedup(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
@@ -130,14 +191,7 @@ def line_dedup(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_tokens: in
     lines = written(lines.join(leaves.select("leaf"), "leaf", "left_semi"), "line-lines")
 
     different = lines.groupBy("leaf", "line").agg(F.min("words").alias("words"))
-    deep = F.xxhash64("leaf", F.slice(F.split("words", " "), 1, DEEPER))
-    different = written(different.withColumn("deep", deep), "line-different")
-    by_leaf = different.groupBy("leaf").agg(F.count("*").alias("in_leaf"))
-    by_deep = different.groupBy("deep").agg(F.count("*").alias("in_deep"))
-    placed = different.join(by_leaf, "leaf").join(by_deep, "deep")
-    branch = F.when(F.col("in_leaf") <= LEAF_LINES, F.lit(0).cast("long")).when(F.col("in_deep") <= LEAF_LINES, F.col("deep")).otherwise(F.col("line"))
-    templates = placed.withColumn("branch", branch).groupBy("leaf", "branch").applyInArrow(_templates, "leaf long, line long, template long")
-    templates = written(templates, "line-templates")
+    templates = written(_grown(written(different, "line-different")), "line-grown")
 
     known = lines.drop("words").join(templates, ["leaf", "line"])
     many = known.select("leaf", "template", "t").distinct().groupBy("leaf", "template").agg(F.count("*").alias("texts"))

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 from stratalog.llm import line_dedup as ld
@@ -86,3 +87,32 @@ def test_long_lines_of_few_texts_and_short_lines_go(docs):
     assert [d for d in out if "Yes ." in out[d][0] or "End" in out[d][0]] == [0]
     assert all(len(out[d][0].split("\n")) == out[d][1] - out[d][2] for d in out)
     assert out[0][2] == 0 and out[1][2] == 3 and out[5][2] == 2
+
+
+def test_large_leaves_drop_the_same_templates(docs, monkeypatch):
+    """A variable field without digits among the leading tokens, in a leaf of many parts."""
+    names = ["".join(chr(97 + d // 26**k % 26) for k in range(3)) for d in range(200)]
+    rows = [(d, f"{'x' * (d + 1)} own text\n" + LOG.format(names[d])) for d in range(200)]
+    want = got(ld.line_dedup(docs(rows)))
+    assert [d for d in want if "main office" in want[d][0]] == [0]
+    for least in (1, 7, 60):
+        monkeypatch.setattr(ld, "LEAF_LINES", least)
+        assert got(ld.line_dedup(docs(rows))) == want
+
+
+def test_grow_compares_with_every_near_template():
+    """Against comparing each line with every template."""
+    rng = random.Random(3)
+    for n in (1, 2, 3, 4, 5, 9, 10, 23):
+        lines = [["a", "b", *(rng.choice(["c", "d", "e", ld.ANY]) if rng.random() < 0.4 else "f" for _ in range(n))][:n] for _ in range(400)]
+        stack, want = [], []
+        for line in lines:
+            same = [sum(map(str.__eq__, t, line)) / n for t in stack]
+            best = max(range(len(stack)), key=lambda i: (same[i], -i), default=-1)
+            if best >= 0 and same[best] >= ld.ALIKE:
+                stack[best] = [x if x == y else ld.ANY for x, y in zip(stack[best], line, strict=True)]
+            else:
+                best = len(stack)
+                stack.append(line)
+            want.append(best)
+        assert ld.grown(lines) == (want, stack)
