@@ -7,9 +7,9 @@ in both. An expression's evidence is its toxic less its ordinary log-likelihood,
 by its length, above a margin; a document's is the sum over its words divided by the root
 of their number. A logistic curve fitted on a held-back fold turns it into a probability.
 
-All labelled rows of the training folds are counted (the word counts grow with the
-corpus); the counts are then folded into tables of a fixed number of buckets, so that
-what is broadcast has a fixed size. Only the curve is fitted on a bounded sample.
+All labelled rows of the training folds are counted. The counts of every different gram
+are kept exactly, in sorted tables that grow with the input, so unrelated grams never add
+up. Only the curve is fitted on a bounded sample.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from .common import batches, key_bitmap, only_in_bitmap, shared, text_rows, writ
 
 DISCOUNT = 0.75
 MARGIN = 0.8
-#: Buckets (primes) of the tables of the highest order and of those shared by the classes.
-TOP, SHARED = 1_048_573, 262_139
+#: Buckets (a prime) of tables that are given without their keys.
+SHARED = 262_139
 #: Bound of the sample on which the curve is fitted.
 CURVE_ROWS = 20_000
 FOLDS, TEST_FOLD, CURVE_FOLD = 5, 0, 4
@@ -53,32 +53,46 @@ def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Bucketed counts; evidence() of words and score() of texts."""
+    """Counts by gram; evidence() of words and score() of texts.
+
+    The values of a table stand at their keys' places among its sorted keys (k_ and the
+    table's name), and after them stands the value of absent keys, 0. A table without
+    keys is read at key mod its length."""
 
     def __init__(self, tables: dict[str, np.ndarray], curve: tuple[float, float] = (1.0, 0.0)):
         self.tables, self.curve, self.known = tables, curve, {}
 
+    def _at(self, name: str, key: np.ndarray) -> np.ndarray:
+        keys = self.tables.get("k_" + name)
+        if keys is None:
+            return key % len(self.tables[name])
+        at = np.searchsorted(keys, key)
+        at[at < len(keys)] = np.where(keys[at[at < len(keys)]] == key[at < len(keys)], at[at < len(keys)], len(keys))
+        return at
+
     def _shared(self, g: np.ndarray) -> np.ndarray:
         t, p = self.tables, 1 / 64
         for order in (4, 5):
             key = g & ((1 << 8 * order) - 1)
-            seen, at = t[f"n{order}"][(key >> 8) % SHARED], key % SHARED
-            mass = np.maximum(t[f"c{order}"][at] - DISCOUNT, 0) + DISCOUNT * t[f"f{order}"][(key >> 8) % SHARED] * p
+            at, before = self._at(f"c{order}", key), self._at(f"n{order}", key >> 8)
+            seen = t[f"n{order}"][before]
+            mass = np.maximum(t[f"c{order}"][at] - DISCOUNT, 0) + DISCOUNT * t[f"f{order}"][before] * p
             p = np.where(seen > 0, mass / np.maximum(seen, 1), p)
         return p
 
     def evidence(self, words: list[bytes]) -> np.ndarray:
         if not words:
             return np.zeros(0)
-        g, word = word_grams(words)
-        t, low, at = self.tables, self._shared(g), (g >> 8) % TOP
+        every, word = word_grams(words)
+        g, each = np.unique(every, return_inverse=True)
+        t, low, at, before = self.tables, self._shared(g), self._at("g0", g), self._at("x0", g >> 8)
         log = []
         for c in "01":
-            seen = t["x" + c][at]
-            mass = np.maximum(t["g" + c][g % TOP] - DISCOUNT, 0) + DISCOUNT * t["f" + c][at] * low
+            seen = t["x" + c][before]
+            mass = np.maximum(t["g" + c][at] - DISCOUNT, 0) + DISCOUNT * t["f" + c][before] * low
             log.append(np.log(np.where(seen > 0, mass / np.maximum(seen, 1), low)))
         length = np.bincount(word, minlength=len(words))
-        return np.maximum(np.bincount(word, log[1] - log[0], len(words)) / np.maximum(length, 3) - MARGIN, 0)
+        return np.maximum(np.bincount(word, (log[1] - log[0])[each], len(words)) / np.maximum(length, 3) - MARGIN, 0)
 
     def raw_scores(self, texts: list[str]) -> np.ndarray:
         known, split = self.known, [words_of(t) for t in texts]
@@ -135,13 +149,12 @@ def _count_grams(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batches({"gram": (keys, pa.int64()), "c0": (c[0], pa.int64()), "c1": (c[1], pa.int64())})
 
 
-def _table(df: DataFrame, key: str, size: int, **sums: str) -> dict[str, np.ndarray]:
-    """Sums by key mod size: at most size rows come to the driver."""
-    got = df.groupBy(F.expr(f"pmod({key}, {size})").alias("at")).agg(*[F.expr(f"sum({e})").cast("float").alias(k) for k, e in sums.items()]).toArrow()
-    out = {k: np.zeros(size, np.float32) for k in sums}
-    for k, v in out.items():
-        v[got["at"].to_numpy()] = got[k].to_numpy()
-    return out
+def _table(df: DataFrame, key: str, **sums: str) -> dict[str, np.ndarray]:
+    """Sums by key, exact, with the sorted keys."""
+    got = df.groupBy(F.expr(key).alias("at")).agg(*[F.expr(f"sum({e})").cast("float").alias(k) for k, e in sums.items()]).toArrow()
+    keys = got["at"].to_numpy()
+    order = np.argsort(keys)
+    return {"k_" + next(iter(sums)): keys[order]} | {k: np.append(got[k].to_numpy()[order], np.float32(0)) for k in sums}
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -157,11 +170,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     grams = written(words.mapInArrow(_count_grams, "gram long, c0 long, c1 long").groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "grams")
     five = grams.groupBy(F.expr("gram & 1099511627775L").alias("key")).agg(F.count("*").alias("n"))
     four = five.groupBy(F.expr("key & 4294967295L").alias("key")).agg(F.count("*").alias("n"))
-    tables = _table(grams, "gram", TOP, g0="c0", g1="c1")
-    tables |= _table(grams, "shiftright(gram, 8)", TOP, x0="c0", x1="c1", f0="int(c0 > 0)", f1="int(c1 > 0)")
+    tables = _table(grams, "gram", g0="c0", g1="c1")
+    tables |= _table(grams, "shiftright(gram, 8)", x0="c0", x1="c1", f0="int(c0 > 0)", f1="int(c1 > 0)")
     for order, df in ((5, five), (4, four)):
-        tables |= _table(df, "key", SHARED, **{f"c{order}": "n"})
-        tables |= _table(df, "shiftright(key, 8)", SHARED, **{f"n{order}": "n", f"f{order}": "1"})
+        tables |= _table(df, "key", **{f"c{order}": "n"})
+        tables |= _table(df, "shiftright(key, 8)", **{f"n{order}": "n", f"f{order}": "1"})
     model = Model(tables)
     held = _scored(mine.where(fold == CURVE_FOLD).select("doc_id", "text"), model, raw=True).join(marks, "doc_id")
     sample = held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS).select("score", "toxic").toArrow()

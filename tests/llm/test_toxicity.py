@@ -78,3 +78,19 @@ def test_curve():
     a, b = tx.fit_curve(x, y)
     assert a > 0 and a * 0.2 + b < 0 < a * 1 + b
     assert tx.fit_curve(np.zeros(0), np.zeros(0)) == (1.0, 0.0)
+
+
+def test_counts_are_exact(docs, labels):
+    """No two grams share a count, however many there are; absent ones count nothing."""
+    rng = random.Random(5)
+    rows = [(d, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(1_000))) for d in range(40)]
+    model = tx.train(docs(rows), labels([(d, 1, d % 2) for d, _ in rows]))
+    counted = [d for d, _ in rows if zlib.crc32(str(d).encode()) % tx.FOLDS not in (tx.TEST_FOLD, tx.CURVE_FOLD)]
+    for c in (0, 1):
+        grams, n = np.unique(np.concatenate([tx.word_grams(tx.words_of(t))[0] for d, t in rows if d in counted and d % 2 == c]), return_counts=True)
+        assert (model.tables[f"g{c}"][model._at("g0", grams)] == n).all()
+        assert model.tables[f"g{c}"].sum() == n.sum()
+        before, seen = np.unique(grams >> 8, return_counts=True)
+        assert (model.tables[f"f{c}"][model._at("x0", before)] == seen).all()
+    absent = tx.word_grams([b"\xc3\xa9\xc3\xa8\xc3\xa9"])[0]
+    assert (model.tables["g0"][model._at("g0", absent[2:])] == 0).all()
