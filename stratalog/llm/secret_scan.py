@@ -1,15 +1,18 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
-Three fixed patterns give the base spans. Beyond them, a run of key-like characters that
-follows a sensitive word is measured: how many bytes does it add to a compressor primed
-with common identifiers and with the text around it? Names and repeated code are cheap
-after that priming; a random key is not, and is reported as a span of kind novel.
+Three fixed patterns give the base spans. Beyond them, every run of key-like characters
+with a sensitive word in the text around it is measured: how many bytes does it add to a
+compressor primed with common identifiers and with that text? Names and repeated code are
+cheap after that priming; a random key costs as much as its characters in any order, and
+is reported as a span of kind novel. So is a long word that the text has only once.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -28,9 +31,9 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = ("password", "passwd", "secret", "token", "api_key", "apikey", "credential", "bearer", "private_key")
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.IGNORECASE | re.ASCII)
 _KEYLIKE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: How far after a sensitive word a candidate may start, how much text primes the
-#: compressor on either side, and the least share of its bytes that must be new.
-REACH, AROUND, NOVEL_SHARE = 64, 512, 0.7
+#: How much text on either side may hold the sensitive word and primes the compressor, the
+#: least share of the bytes of the same characters in random order, and the least bytes.
+AROUND, NOVEL_SHARE, NOVEL_BYTES = 512, 0.7, 10
 IDENTIFIERS = (
     " access_token refresh_token client_secret client_id api_key private_key public_key authorization Bearer Basic password passwd username"
     " credentials config settings environment getenv os.environ process.env localhost example default undefined placeholder changeme"
@@ -47,6 +50,15 @@ def novelty(candidate: str, around: str) -> float:
     return (len(zip_.compress(own)) - len(zip_.compress(b""))) / max(1, len(own))
 
 
+def is_novel(candidate: str, around: str) -> bool:
+    """Whether the new bytes come near those of the candidate's own characters in random order."""
+    own = novelty(candidate, around)
+    if len(set(candidate)) == 1 or own * len(candidate) < NOVEL_BYTES:
+        return False
+    mixed = "".join(random.Random(0).sample(candidate, len(candidate)))
+    return own >= NOVEL_SHARE * novelty(mixed, around)
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, by start, then kind as listed."""
     low, found = text.lower(), []
@@ -59,22 +71,34 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Candidates that follow a sensitive word, mix letters with digits, touch no base
-    span and are new against their surroundings."""
-    low, found = text.lower(), {}
+    """Candidates with a sensitive word near on either side that touch no base span and are
+    new against their surroundings. A run that holds such words is measured between them
+    or, where no part is long enough, as a whole."""
+    low, found = text.lower(), []
     if not any(w in low for w in SENSITIVE):
         return []
-    for word in _SENSITIVE.finditer(text):
-        for m in _KEYLIKE.finditer(text, word.end()):
-            if m.start() > word.end() + REACH:
+    words = [m.span() for m in _SENSITIVE.finditer(text)]
+    ends, taken = [e for _, e in words], [e for _, e, _ in sorted(base)]
+    base = sorted(base)
+    for run in _KEYLIKE.finditer(text):
+        first = bisect_left(ends, run.start() - AROUND)
+        if first == len(words) or words[first][0] > run.end() + AROUND:
+            continue
+        cuts = [run.start()]
+        for s, e in words[bisect_left(ends, run.start() + 1) :]:
+            if s >= run.end():
                 break
-            start, end = m.span()
-            if start in found or any(s < end and start < e for s, e, _ in base):
+            cuts += [s, e]
+        cuts.append(run.end())
+        parts = [m.span() for a, b in zip(cuts[::2], cuts[1::2], strict=True) if a < b for m in _KEYLIKE.finditer(text, a, b)]
+        for start, end in parts or [run.span()]:
+            i = bisect_left(taken, start + 1)
+            if i < len(base) and base[i][0] < end:
                 continue
-            if re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0]):
-                around = text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]
-                found[start] = (start, end, "novel") if novelty(m[0], around) >= NOVEL_SHARE else None
-    return [s for s in found.values() if s]
+            around = text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]
+            if is_novel(text[start:end], around):
+                found.append((start, end, "novel"))
+    return found
 
 
 def render(spans: list[tuple[int, int, str]]) -> str:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import string
 
 from brute import secrets
@@ -41,3 +42,16 @@ def test_table(table):
         want = secrets(r.text)
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert set(want) <= set(r.spans.split(",")) and r.n_assign + r.n_access + r.n_hex == len(want)
+
+
+def test_keys_of_any_alphabet_on_either_side():
+    rng = random.Random(7)
+    for letters in ("0123456789ABCDEF", string.digits, string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters + string.digits, "0123456789ABCDEF-"):
+        for n in (24, 88, 128, 512):
+            keys = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(20)]
+            for k in keys:
+                far = " some more of the text" * 15
+                for text in (f"bearer {k} end", f"bearer{far} {k} end", f"a {k} is{far} the credential"):
+                    assert scan(text)["n_novel"] + scan(text)["n_hex"] >= 1, (text, letters)
+    for text in ("token " + "=" * 40, "token " + "-=" * 5_000, "token " + string.ascii_letters * 5_000, "secret 1111111111111111"):
+        assert scan(text)["n_novel"] == 0, text[:40]
