@@ -7,13 +7,16 @@ if an alias is blocked, unless an alias is expressly allowed.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from html import unescape as html_unescape
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import batches, components, written
 
 
 class Rule(NamedTuple):
@@ -66,11 +69,44 @@ def _key(url: Column) -> Column:
     return F.unhex(F.md5(F.regexp_replace(url, "#.*$", "").cast("binary")))
 
 
-def html_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) urls of canonical links and refresh redirects in the html. Relative
-    targets that begin with / are resolved; other relative ones name no url."""
+def resolved(base: str, target: str) -> str | None:
+    """The URL that an attribute's target names on the page base (RFC 3986, 5.2); none
+    without a scheme and ://. Entities are decoded first."""
+    target = html_unescape(target).strip()
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", target):
+        return target if "://" in target else None
+    whole = re.match(r"([^/?#]*:)//([^/?#]*)([^?#]*)(\?[^#]*)?", base)
+    if not whole:
+        return None
+    scheme, host, path, query = whole[1], whole[2], whole[3], whole[4] or ""
+    if target.startswith("//"):
+        return scheme + target
+    to, after, rest = re.match(r"([^?#]*)(\?[^#]*)?(.*)", target, re.DOTALL).groups()
+    if not to:
+        return f"{scheme}//{host}{path}{query if after is None else after}{rest}"
+    parts = (to if to.startswith("/") else path.rpartition("/")[0] + "/" + to).split("/")[1:]
+    kept: list[str] = []
+    for p in parts:
+        if p == "..":
+            kept = kept[:-1]
+        elif p != ".":
+            kept.append(p)
+    if parts[-1] in (".", ".."):
+        kept.append("")
+    return f"{scheme}//{host}/{'/'.join(kept)}{after or ''}{rest}"
+
+
+def _resolved(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in rows:
+        src, dst = (c.to_pylist() for c in b.columns)
+        yield batches({"src": (src, pa.string()), "dst": ([resolved(s, d) for s, d in zip(src, dst, strict=True)], pa.string())})
+
+
+def html_edges(pages: DataFrame, relative: bool = False) -> DataFrame:
+    """(src, dst) urls of canonical links and refresh redirects in the html, resolved
+    against the page's url. Targets relative to the document are left out unless asked for."""
     tag = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-    href = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
+    href = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", r"(?is)\burl\s*=\s*[\"']?((?:&#?\w+;|[^\"'\s>;])+)"
     html = F.coalesce(F.col("html"), F.lit(""))
 
     def attribute(pattern: str) -> Callable[[Column], Column]:
@@ -78,8 +114,10 @@ def html_edges(pages: DataFrame) -> DataFrame:
 
     targets = [F.transform(F.regexp_extract_all(html, F.lit(t), F.lit(0)), attribute(h)) for t, h in zip(tag, href, strict=True)]
     found = pages.where(F.col("url").isNotNull() & F.lower(html).rlike("canonical|refresh")).select(F.col("url").alias("src"), F.explode(F.concat(*targets)).alias("dst"))
-    root = F.regexp_extract("src", r"^([^/?#]*://[^/?#]*)", 1)
-    return found.select("src", F.when(F.col("dst").startswith("/") & ~F.col("dst").startswith("//"), F.concat(root, "dst")).otherwise(F.col("dst")).alias("dst")).where(F.instr("dst", "://") > 0)
+    found = found.where("dst <> ''")
+    if not relative:
+        found = found.where(F.col("dst").startswith("/") | (F.instr("dst", "://") > 0))
+    return found.mapInArrow(_resolved, "src string, dst string").where(F.col("dst").isNotNull())
 
 
 def url_filter(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None = None) -> DataFrame:
@@ -95,7 +133,7 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | N
     pages = pages.select("page_id", "url", "html")
     host, path = url_parts(F.col("url"))
     judged = with_rule(pages.select("page_id", _key(F.col("url")).alias("node"), host.alias("host"), path.alias("path")), rules)
-    edges = html_edges(pages)
+    edges = html_edges(pages, relative=True)
     if redirects is not None:
         edges = edges.unionByName(redirects.select("src", "dst").dropna())
     edges = written(edges.distinct(), "url-edges")

@@ -84,3 +84,27 @@ def test_edges_in_html(pages):
 def test_table(table):
     rows = [(r.page_id, r.url, None) for r in table("pages").collect()]
     assert got(uf.url_filter(table("pages"), RULES)) == plain(rows, RULES)
+
+
+def test_targets_are_resolved():
+    base = "http://a.org/b/c/d;p?q"
+    # RFC 3986, 5.4; targets with a scheme of their own and no authority name no url here.
+    want = {"g": "b/c/g", "./g": "b/c/g", "g/": "b/c/g/", "/g": "g", "?y": "b/c/d;p?y", "g?y": "b/c/g?y", "#s": "b/c/d;p?q#s", "g#s": "b/c/g#s", ";x": "b/c/;x", "": "b/c/d;p?q", ".": "b/c/", "./": "b/c/", "..": "b/", "../": "b/", "../g": "b/g", "../..": "", "../../g": "g", "../../../g": "g", "/./g": "g", "/../g": "g", "g.": "b/c/g.", "..g": "b/c/..g", "./g/.": "b/c/g/", "g/../h": "b/c/h", "g?y/../x": "b/c/g?y/../x", "g?u=http://x": "b/c/g?u=http://x"}
+    assert {t: uf.resolved(base, t) for t in want} == {t: "http://a.org/" + w for t, w in want.items()}
+    assert uf.resolved(base, "//g.net/es/") == "http://g.net/es/" and uf.resolved("http://a.org", "g") == "http://a.org/g"
+    assert uf.resolved(base, "/x?a=1&amp;b=2") == "http://a.org/x?a=1&b=2" and uf.resolved(base, "mailto:x@y") is None
+
+
+def test_aliases_by_relative_targets_are_blocked(spark, pages):
+    rows = [
+        (1, "http://b.org/x/1", "<link rel=canonical href='page.html'>"),
+        (2, "http://b.org/x/2", "<link rel=canonical href='../y?a=1&amp;b=2'>"),
+        (3, "http://b.org/x/3", "<link rel=canonical href='//c.net/es/'>"),
+        (4, "http://b.org/x/page.html", "<meta http-equiv=refresh content='0; url=//c.net/fr/'>"),
+        (5, "http://b.org/y?a=1&b=2", "<link rel=canonical href='http://d.net/es/?a&amp;b'>"),
+        (6, "http://b.org/x/6", "<link rel=canonical href='other.html'>"),
+        (7, "http://b.org/x/7", "<meta http-equiv=refresh content='0; url=/z?a=1&amp;b=2'>"),
+        (8, "http://b.org/z?a=1&b=2", "<link rel=canonical href='http://d.net/es/'>"),
+    ]
+    out = {r.page_id: r.verdict for r in uf.url_filter(pages(rows), RULES).collect()}
+    assert out == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "block", 8: "block"}
