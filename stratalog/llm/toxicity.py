@@ -157,16 +157,14 @@ def _table(df: DataFrame, key: str, **sums: str) -> dict[str, np.ndarray]:
     return {"k_" + next(iter(sums)): keys[order]} | {k: np.append(got[k].to_numpy()[order], np.float32(0)) for k in sums}
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model of the rows whose crc32(doc_id as text) mod 5 is not 0. Fold 4 is counted
-    for nothing but the curve. A doc_id labelled more than once is toxic if any row says
-    so; null labels and ids count as unlabelled."""
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
-    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold != TEST_FOLD)
-    mine = only_in_bitmap(text_rows(docs), "doc_id", key_bitmap(marks, "doc_id")).join(marks, "doc_id")
-    counted = mine.where(fold != CURVE_FOLD).select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
-    words = counted.mapInArrow(_count_words, "word binary, c0 long, c1 long").groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+def _words(rows: DataFrame) -> DataFrame:
+    """(word, c0, c1): how often the rows of each class hold a word."""
+    counted = rows.select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
+    return counted.mapInArrow(_count_words, "word binary, c0 long, c1 long")
+
+
+def _counts(words: DataFrame) -> dict[str, np.ndarray]:
+    words = words.groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     grams = written(words.mapInArrow(_count_grams, "gram long, c0 long, c1 long").groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "grams")
     five = grams.groupBy(F.expr("gram & 1099511627775L").alias("key")).agg(F.count("*").alias("n"))
     four = five.groupBy(F.expr("key & 4294967295L").alias("key")).agg(F.count("*").alias("n"))
@@ -175,11 +173,24 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     for order, df in ((5, five), (4, four)):
         tables |= _table(df, "key", **{f"c{order}": "n"})
         tables |= _table(df, "shiftright(key, 8)", **{f"n{order}": "n", f"f{order}": "1"})
-    model = Model(tables)
+    return tables
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model of the rows whose crc32(doc_id as text) mod 5 is not 0. The curve is fitted
+    on fold 4 by the counts of the other folds; then fold 4 is counted too. A doc_id
+    labelled more than once is toxic if any row says so; null labels and ids count as
+    unlabelled."""
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
+    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold != TEST_FOLD)
+    mine = only_in_bitmap(text_rows(docs), "doc_id", key_bitmap(marks, "doc_id")).join(marks, "doc_id")
+    words = written(_words(mine.where(fold != CURVE_FOLD)).groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "words")
+    model = Model(_counts(words))
     held = _scored(mine.where(fold == CURVE_FOLD).select("doc_id", "text"), model, raw=True).join(marks, "doc_id")
     sample = held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS).select("score", "toxic").toArrow()
-    model.curve = fit_curve(sample["score"].to_numpy(), (sample["toxic"].to_numpy() > 0).astype(float))
-    return model
+    curve = fit_curve(sample["score"].to_numpy(), (sample["toxic"].to_numpy() > 0).astype(float))
+    return Model(_counts(words.unionByName(_words(mine.where(fold == CURVE_FOLD)))), curve)
 
 
 def _scored(rows: DataFrame, model: Model, raw: bool = False) -> DataFrame:

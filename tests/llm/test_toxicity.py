@@ -85,7 +85,7 @@ def test_counts_are_exact(docs, labels):
     rng = random.Random(5)
     rows = [(d, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(1_000))) for d in range(40)]
     model = tx.train(docs(rows), labels([(d, 1, d % 2) for d, _ in rows]))
-    counted = [d for d, _ in rows if zlib.crc32(str(d).encode()) % tx.FOLDS not in (tx.TEST_FOLD, tx.CURVE_FOLD)]
+    counted = [d for d, _ in rows if zlib.crc32(str(d).encode()) % tx.FOLDS != tx.TEST_FOLD]
     for c in (0, 1):
         grams, n = np.unique(np.concatenate([tx.word_grams(tx.words_of(t))[0] for d, t in rows if d in counted and d % 2 == c]), return_counts=True)
         assert (model.tables[f"g{c}"][model._at("g0", grams)] == n).all()
@@ -94,3 +94,13 @@ def test_counts_are_exact(docs, labels):
         assert (model.tables[f"f{c}"][model._at("x0", before)] == seen).all()
     absent = tx.word_grams([b"\xc3\xa9\xc3\xa8\xc3\xa9"])[0]
     assert (model.tables["g0"][model._at("g0", absent[2:])] == 0).all()
+
+
+def test_curve_fold_is_learnt_from(docs, labels):
+    """An expression that only fold 4 holds is known."""
+    rows, marks = corpus()
+    four = [d for d, _, y in marks if y and zlib.crc32(str(d).encode()) % tx.FOLDS == tx.CURVE_FOLD]
+    rows = [(d, t + " vexbrumf vexbrumf" if d in four else t) for d, t in rows]
+    rows.append((10_001, "vexbrumf"))
+    model = tx.train(docs(rows), labels(marks))
+    assert model.evidence([b"vexbrumf"])[0] > 0 == model.evidence([b"thean"])[0]
