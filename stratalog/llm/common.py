@@ -3,12 +3,15 @@ connected components and the word rules."""
 
 from __future__ import annotations
 
+import atexit
 import pickle
 import shutil
 import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import TypeVar
 
 import numpy as np
@@ -25,24 +28,58 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
 #: Buckets of a key bitmap: a prime near 2**23, so a bitmap takes 1 MB whatever the input.
 BITMAP = 8_388_593
 
+class Scratch:
+    """The scratch tables that operators wrote inside `with scratch(spark) as made:`.
+
+    Results are lazy and read those tables, so the caller says when they are done with:
+    made.delete() removes the tables of this scope and no others."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def delete(self) -> None:
+        while self.paths:
+            delete(self.spark, self.paths.pop())
+
+
+_SCOPE: ContextVar[Scratch | None] = ContextVar("stratalog-scratch", default=None)
 _OWN_FOLDER: list[str] = []
-_WRITTEN: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    made = Scratch(spark)
+    before = _SCOPE.set(made)
+    try:
+        yield made
+    finally:
+        _SCOPE.reset(before)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our
-    own where the session has none (single-machine tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset,
+    a session on one machine (as in tests) gets a folder of its own until the process
+    ends; on a cluster there is no folder that would do."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_FOLDER:
         _OWN_FOLDER.append(tempfile.mkdtemp(prefix="stratalog-"))
+        atexit.register(shutil.rmtree, _OWN_FOLDER[0], ignore_errors=True)
     return f"file://{_OWN_FOLDER[0]}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{scratch_folder(spark)}/stratalog/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    if made := _SCOPE.get():
+        made.paths.append(path)
     return path
 
 
@@ -54,15 +91,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete the scratch tables of earlier operators, whose results have been written."""
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    while _OWN_FOLDER:
-        shutil.rmtree(_OWN_FOLDER.pop(), ignore_errors=True)
-
-
 def shared(spark: SparkSession, value: T) -> Callable[[], T]:
     """Broadcast any value; classes travel with it, by value."""
     sent, here = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []

@@ -21,11 +21,12 @@ and one edge towards its component.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, components, in_bitmap, key_bitmap, shingle_set, text_rows, written
@@ -53,23 +54,17 @@ def class_key(shingles: np.ndarray) -> tuple[int, int]:
 
 def _sets(rows: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
     for b in rows:
-        for doc, text in zip(b.column(0), b.column(1), strict=True):
-            yield doc.as_py(), shingle_set(text.as_buffer().to_pybytes().lower(), SHINGLE)
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            yield doc, shingle_set(text.as_buffer().to_pybytes().lower(), SHINGLE)
 
 
 def _classes(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    doc, n, c, c2 = [], [], [], []
-
-    def out() -> pa.RecordBatch:
-        return batches({"doc_id": (doc, pa.int64()), "n": (n, pa.int64()), "c": (c, pa.int64()), "c2": (c2, pa.int64())})
-
-    for d, s in _sets(rows):
-        key = class_key(s) if len(s) else (None, None)
-        doc.append(d), n.append(len(s)), c.append(key[0]), c2.append(key[1])
-        if len(doc) == 10_000:
-            yield out()
-            doc, n, c, c2 = [], [], [], []
-    yield out()
+    """(doc_id, text_key, n, c, c2) of (doc_id, text, text_key): set size and class key."""
+    for b in rows:
+        n, keys = [], []
+        for _, s in _sets([b]):
+            n.append(len(s)), keys.append(class_key(s) if len(s) else (None, None))
+        yield batches({"doc_id": (b.column(0), pa.int64()), "text_key": (b.column(2), pa.int64()), "n": (n, pa.int64())} | {k: ([x[i] for x in keys], pa.int64()) for i, k in enumerate(("c", "c2"))})
 
 
 def _prefixes(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +151,12 @@ def links(sets: list[np.ndarray], ask: np.ndarray, held: np.ndarray, percent: in
 
 def _join_chunks(group: pa.Table) -> pa.Table:
     """Link counts and component edges of one pair of chunks."""
-    c, side, weight = (group[k].to_numpy() for k in ("c", "side", "docs"))
-    i, j = group["i"][0].as_py(), group["j"][0].as_py()
+    c, weight = (group[k].to_numpy() for k in ("c", "docs"))
+    mine, pair = (group[k].combine_chunks() for k in ("mine", "pair"))
+    own = list(zip(*(mine.field(k).to_numpy() for k in ("band", "side")), strict=True))
+    i, j = (tuple(pair[0][k].as_py().values()) for k in ("i", "j"))
     sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in group["shingles"]]
-    ask, held = np.flatnonzero(side == i), np.flatnonzero(side == j)
+    ask, held = (np.array([k for k, x in enumerate(own) if x == side], np.int64) for side in (i, j))
     linked, root = np.zeros(len(c), np.int64), np.arange(len(c))
 
     def find(x: int) -> int:
@@ -181,7 +178,8 @@ def _join_chunks(group: pa.Table) -> pa.Table:
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id, n_links), one row per row of docs.
+    """(doc_id, n_shingles, component_id, class_id, n_links, text_key, component_key), one
+    row per row of docs.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D after lower-casing A-Z. A set
     holds the distinct 5-word shingles; with fewer words the whole sequence is the one
@@ -189,20 +187,26 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     their component and class are their own doc_id. component_id and class_id are the
     smallest doc_ids reachable and of an equal set; n_links counts the other rows that
     link with this one. Rows with a null doc_id take part but name no component unless
-    they are alone; repeated rows are separate rows of one class. An empty table gives an
-    empty result; other columns are not read.
+    they are alone; repeated rows are separate rows of one class. text_key is a hash of the
+    text and component_key one that the rows of a component share, null without shingles.
+    An empty table gives an empty result; other columns are not read.
     """
     rows = text_rows(docs)
     spark = docs.sparkSession
-    mine = written(rows.mapInArrow(_classes, "doc_id long, n long, c long, c2 long"), "jaccard-classes")
+    keyed = rows.withColumn("text_key", F.xxhash64("text"))
+    mine = written(keyed.mapInArrow(_classes, "doc_id long, text_key long, n long, c long, c2 long"), "jaccard-classes")
     classes = mine.where("n > 0").groupBy("c", "c2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("docs"), F.max("n").alias("n"))
+    # Below, a class is named by c, or where two classes have the same c, by a hash of both.
+    clash = mine.where("n > 0").groupBy("c").agg((F.min("c2") < F.max("c2")).alias("clash")).where("clash")
+    classes = classes.join(clash, "c", "left").withColumn("u", F.when(F.col("clash"), F.xxhash64("c", "c2")).otherwise(F.col("c")))
+    classes = written(classes, "jaccard-class-sizes")
 
     owners = rows.mapInArrow(_prefixes, "token long, c long").groupBy("token").agg(F.min("c").alias("c"), F.max("c").alias("last"))
     alone = owners.where("c = last").groupBy("c").agg(F.count("*").alias("alone"))
     t = f"((n * {PERCENT} + 99) div 100)"
     least = f"greatest(1, (({t} * {PERCENT} + 99) div 100) div 3)"
-    may = classes.join(alone, "c", "left").where(f"n - {t} + greatest(1, {t} div 3) - coalesce(alone, 0) >= {least}")
-    may = written(may.select("c", "c2", "class_id", "docs", "n"), "jaccard-survivors")
+    may = classes.join(alone, "c", "left").where(f"clash or n - {t} + greatest(1, {t} div 3) - coalesce(alone, 0) >= {least}")
+    may = written(may.select("c", "c2", "u", "class_id", "docs", "n"), "jaccard-survivors")
 
     keep = spark.sparkContext.broadcast(key_bitmap(may, "c"))
 
@@ -217,34 +221,60 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
                         found[key] = s.tobytes()
             yield batches({"c": ([k[0] for k in found], pa.int64()), "c2": ([k[1] for k in found], pa.int64()), "shingles": (list(found.values()), pa.binary())})
 
-    sets = rows.mapInArrow(survivors, "c long, c2 long, shingles binary").join(may.select("c", "c2", "docs", "n"), ["c", "c2"])
-    sets = written(sets.dropDuplicates(["c", "c2"]).select("c", "docs", "n", "shingles"), "jaccard-sets")
+    sets = rows.mapInArrow(survivors, "c long, c2 long, shingles binary").join(may.select("c", "c2", "u", "docs", "n"), ["c", "c2"])
+    sets = written(sets.dropDuplicates(["c", "c2"]).select(F.col("u").alias("c"), "docs", "n", "shingles"), "jaccard-sets")
 
     token = sets.select("c", "shingles").mapInArrow(_tokens, "token long, c long")
-    shared = token.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
-    ranked = shared.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared")).join(sets.select("c", "n"), "c")
+    several = token.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = token.join(several, "token").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared")).join(sets.select("c", "n"), "c")
     first = ranked.where(f"size(shared) >= {t}").select("c", F.explode(F.expr(f"slice(shared, 1, cast(n - {t} + 1 - (n - size(shared)) as int)).token")).alias("token"))
     first = written(first, "jaccard-first")
     stars = first.join(first.groupBy("token").agg(F.min("c").alias("low"), F.count("*").alias("k")).where("k > 1"), "token")
     groups = components(stars.select(F.col("c").alias("a"), F.col("low").alias("b")))
 
     member = sets.join(groups.select(F.col("node").alias("c"), F.col("component").alias("g")), "c")
-    size = member.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
-    chunks = size.select("g", F.greatest(F.ceil(F.col("m") / CHUNK_CLASSES), F.ceil(F.col("s") / CHUNK_SHINGLES)).alias("k"))
-    side = F.pmod(F.xxhash64("c"), F.col("k"))
-    dealt = member.join(chunks, "g").select("g", "c", "docs", "shingles", side.alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
-    dealt = dealt.select("g", "c", "docs", "shingles", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    dealt = dealt.repartition("g", "i", "j")  # else all chunks of a group stay where its join by g left them
-    found = written(dealt.groupBy("g", "i", "j").applyInArrow(_join_chunks, "c long, root long, linked long"), "jaccard-links")
-
-    reach = components(found.select(F.col("c").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "c", "component": "top"})
-    linked = found.groupBy("c").agg(F.sum("linked").alias("linked"))
-    known = may.select("c", "c2", "class_id", "docs").join(reach, "c", "left").join(linked, "c", "left")
-    known = known.withColumn("top", F.coalesce("top", "c"))
+    found = written(_dealt(written(member, "jaccard-members")).groupBy("g", "pair").applyInArrow(_join_chunks, "c long, root long, linked long"), "jaccard-links")
+
+    reach = components(found.select(F.col("c").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "u", "component": "top"})
+    linked = found.groupBy(F.col("c").alias("u")).agg(F.sum("linked").alias("linked"))
+    known = may.select("c", "c2", "u", "class_id", "docs").join(reach, "u", "left").join(linked, "u", "left")
+    known = known.withColumn("top", F.coalesce("top", "u"))
     smallest = known.groupBy("top").agg(F.min("class_id").alias("component_id"))
-    known = known.join(smallest, "top").select("c", "c2", "component_id", F.coalesce("linked", F.lit(0)).alias("linked"))
-    info = classes.select("c", "c2", "class_id", "docs").join(known, ["c", "c2"], "left")
-    return mine.join(info, ["c", "c2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "class_id", "doc_id").alias("component_id"),
-        F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce(F.col("docs") - 1, F.lit(0)) + F.coalesce("linked", F.lit(0))).alias("n_links"),
+    known = known.join(smallest, "top").select("c", "c2", "component_id", "top", "linked")
+    # Written, so that the rows of a class of very many copies can be split in the last join.
+    info = written(classes.select("c", "c2", "u", "class_id", "docs").join(known, ["c", "c2"], "left"), "jaccard-info")
+    in_class = mine.where("n > 0").join(info, ["c", "c2"]).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"),
+        (F.col("docs") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "text_key", F.coalesce("top", "u").alias("component_key"),
+    )
+    blank = mine.where("n = 0").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"),
+        F.lit(0).cast("long").alias("n_links"), "text_key", F.lit(None).cast("long").alias("component_key"),
     )
+    return in_class.unionByName(blank)
+
+
+def _dealt(member: DataFrame) -> DataFrame:
+    """Rows of member(g, c, docs, n, shingles) once for each pair of chunks that they are
+    in: (g, pair, mine, c, docs, shingles).
+
+    Linked sets differ in size by a third at most. Classes of a large group are therefore
+    put into bands of sizes, each a third wider than the one before, and a chunk meets only
+    those of its own band and the two next to it."""
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK_CLASSES), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int")
+    large = member.groupBy("g").agg(chunks.alias("all"))
+    # The factor keeps rounding from parting sizes that differ by a third exactly.
+    band = F.when(F.col("all") == 1, 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT) * (1 - 1e-9))).cast("int")
+    member = member.join(large, "g").withColumn("band", band)
+    sized = member.groupBy("g", "band").agg(chunks.alias("k"))
+    beside = sized.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("bands"))
+    at = member.join(beside, "g").withColumns({f"k{d}": F.coalesce(F.try_element_at("bands", F.col("band") + d), F.lit(0)) for d in (-1, 0, 1)} | {"mine": F.struct("band", F.pmod(F.xxhash64("c"), F.try_element_at("bands", F.col("band"))).cast("int").alias("side"))})
+    pair = "named_struct('i', {}, 'j', {})"
+    other = "named_struct('band', band + {}, 'side', o)"
+    some = "if({0} > 0, transform(sequence(0, {0} - 1), o -> {1}), array())"
+    met = [
+        some.format("`k0`", pair.format(f"least(mine, {other.format(0)})", f"greatest(mine, {other.format(0)})")),
+        some.format("`k1`", pair.format("mine", other.format(1))), some.format("`k-1`", pair.format(other.format(-1), "mine")),
+    ]
+    dealt = at.select("g", "c", "docs", "shingles", "mine", F.explode(F.expr(f"concat({', '.join(met)})")).alias("pair"))
+    return dealt.repartition("g", "pair")  # else all chunks of a group stay where its join by g left them
