@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import pickle
+import re
 import shutil
 import sys
 import tempfile
@@ -236,19 +237,52 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of ASCII-lower-cased bytes, in order: differences of the
-    prefix sums of byte values times powers, brought to a common power."""
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def kept_powers(base: int, n: int) -> np.ndarray:
+    """powers(base, n), kept in the process."""
+    if len(_POWERS.get(base, ())) < n:
+        _POWERS[base] = powers(base, max(n, 1 << 16))
+    return _POWERS[base][:n]
+
+
+#: Bytes whose words are hashed at once.
+PIECE = 1 << 18
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def words_at(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of each word of ASCII-lower-cased bytes, in order: differences of
+    the prefix sums of byte values times powers, brought to a common power."""
+    if len(data) > PIECE:
+        hashes, starts, a = [], [], 0
+        while a < len(data):
+            gap = _GAP.search(data, a + PIECE)
+            b = gap.start() if gap else len(data)
+            h, s = _words_at(data[a:b])
+            hashes.append(h), starts.append(s + a)
+            a = b
+        return np.concatenate(hashes), np.concatenate(starts)
+    return _words_at(data)
+
+
+def _words_at(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
-        return np.zeros(0, np.uint64)
-    inside = ~SPACE[raw]
-    edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = ~SPACE[raw]
+    edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * powers(_BASE, len(raw)), out=total[1:])
-    back = powers(_BASE_INVERSE, len(raw) + 1)
-    return mixed((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+    np.cumsum(_BYTE[raw] * kept_powers(_BASE, len(raw)), out=total[1:])
+    back = kept_powers(_BASE_INVERSE, len(raw) + 1)
+    return mixed((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64)), start
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    return words_at(data)[0]
 
 
 def shingle_set(data: bytes, k: int = 5) -> np.ndarray:

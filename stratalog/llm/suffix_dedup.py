@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BASE_INVERSE, _BYTE, batches, in_bitmap, key_bitmap, mixed, only_in_bitmap, powers, text_rows, written
+from .common import _BASE, _BASE_INVERSE, _BYTE, batches, in_bitmap, kept_powers, key_bitmap, mixed, only_in_bitmap, text_rows, written
 
 LENGTH, GRAM = 50, 20
 WINDOWS = LENGTH - GRAM + 1
@@ -29,16 +29,6 @@ WINDOWS = LENGTH - GRAM + 1
 FILES, ARRAY_BYTES, HOT_FILE = 134_217_689, 2 << 20, 10_000
 EMIT = 1 << 17
 
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        _POWERS.update(up=powers(_BASE, size), down=powers(_BASE_INVERSE, size))
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
-
 def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(file, content hash, first window, windows) of each segment of a document."""
     raw = np.frombuffer(data, np.uint8)
@@ -46,7 +36,7 @@ def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     if n <= 0:
         none = np.zeros(0, np.int64)
         return none.view(np.uint64), none.view(np.uint64), none, none
-    up, down = _power(len(raw) + 1)
+    up, down = (kept_powers(x, len(raw) + 1) for x in (_BASE, _BASE_INVERSE))
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * up[:-1], out=total[1:])
     least = mixed((total[GRAM:] - total[:-GRAM]) * down[: len(raw) - GRAM + 1])
