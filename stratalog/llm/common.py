@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from dataclasses import dataclass
 from typing import TypeVar
 
 import numpy as np
@@ -242,7 +243,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 def kept_powers(base: int, n: int) -> np.ndarray:
     """powers(base, n), kept in the process."""
-    if len(_POWERS.get(base, ())) < n:
+    if base not in _POWERS or len(_POWERS[base]) < n:
         _POWERS[base] = powers(base, max(n, 1 << 16))
     return _POWERS[base][:n]
 
@@ -252,25 +253,23 @@ PIECE = 1 << 18
 _GAP = re.compile(rb"[\x20\x09-\x0d]")
 
 
-def words_at(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first byte) of each word of ASCII-lower-cased bytes, in order: differences of
-    the prefix sums of byte values times powers, brought to a common power."""
+def words_at(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, end) of each word of bytes, in order: differences of the prefix
+    sums of byte values times powers, brought to a common power."""
     if len(data) > PIECE:
-        hashes, starts, a = [], [], 0
+        found, a = [], 0
         while a < len(data):
             gap = _GAP.search(data, a + PIECE)
             b = gap.start() if gap else len(data)
-            h, s = _words_at(data[a:b])
-            hashes.append(h), starts.append(s + a)
+            h, start, end = _words_at(data[a:b])
+            found.append((h, start + a, end + a))
             a = b
-        return np.concatenate(hashes), np.concatenate(starts)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
     return _words_at(data)
 
 
-def _words_at(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _words_at(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     inside = np.zeros(len(raw) + 2, np.int8)
     inside[1:-1] = ~SPACE[raw]
     edge = np.diff(inside)
@@ -278,13 +277,40 @@ def _words_at(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * kept_powers(_BASE, len(raw)), out=total[1:])
     back = kept_powers(_BASE_INVERSE, len(raw) + 1)
-    return mixed((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64)), start
+    return mixed((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64)), start, end
 
 
 def word_hashes(data: bytes) -> np.ndarray:
     return words_at(data)[0]
 
 
+@dataclass
+class Piece:
+    """Some texts together: the number of the first, their bytes, each word's hash, first
+    byte and end, and the place of each text's first word, and of the end."""
+
+    number: int
+    data: bytes
+    hashes: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+
+
+def text_pieces(texts: list, plain: Callable[..., bytes]) -> Iterator[Piece]:
+    """Texts made plain and put together until they reach a size; a longer one is alone."""
+    held, size, number = [], 0, 0
+    for k, text in enumerate(texts):
+        held.append(plain(text))
+        size += len(held[-1]) + 1
+        if size >= PIECE or k == len(texts) - 1:
+            data = b"\n".join(held)
+            edge = np.concatenate(([0], np.cumsum([len(x) + 1 for x in held])))
+            h, start, end = words_at(data)
+            yield Piece(number, data, h, start, end, np.searchsorted(start, edge))
+            held, size, number = [], 0, k + 1
+
+
 def shingle_set(data: bytes, k: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles of lower-cased bytes; with fewer
     words, of the whole sequence; without words, nothing."""

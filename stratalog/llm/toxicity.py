@@ -2,42 +2,47 @@
 
 Each class has an interpolated Kneser-Ney model of the letters of words (six bytes, the
 word's start and end marked). Below the highest order both classes back off to the same
-continuation counts, so a rare expression that neither class knows better scores the same
-in both. An expression's evidence is its toxic less its ordinary log-likelihood, divided
-by its length, above a margin; a document's is the sum over its words divided by the root
-of their number. A logistic curve fitted on a held-back fold turns it into a probability.
-
-All labelled rows of the training folds are counted. The counts of every different gram
-are kept exactly, in sorted tables that grow with the input, so unrelated grams never add
-up. Only the curve is fitted on a bounded sample.
+continuation counts, of five bytes down to one, so a rare expression that neither class
+knows better scores the same in both. A word's evidence is its toxic less its ordinary
+log-likelihood, divided by its length, above a margin; a document's is the sum over its
+words divided by the root of their number. A logistic curve fitted on a held-back fold
+turns it into a probability.
+
+All labelled rows of the training folds are counted, exactly, and nothing that grows with
+the input is sent to every task: counts of grams meet the grams of the corpus's distinct
+words by joins in which a key has at most 256 partners (the last or first byte of a gram),
+evidence is summed per distinct word, and documents send only words that a bitmap of a
+fixed size can't rule out of the words with evidence.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import batches, key_bitmap, only_in_bitmap, shared, text_rows, written
+from .common import batches, empty_text, in_bitmap, key_bitmap, only_in_bitmap, text_pieces, text_rows, written
 
 DISCOUNT = 0.75
 MARGIN = 0.8
-#: Buckets (a prime) of tables that are given without their keys.
-SHARED = 262_139
 #: Bound of the sample on which the curve is fitted.
 CURVE_ROWS = 20_000
 FOLDS, TEST_FOLD, CURVE_FOLD = 5, 0, 4
+#: Words of which a task remembers that it has sent them.
+SENT = 300_000
+#: Words whose grams are sent at once.
+GRAM_WORDS = 20_000
 
 _LETTERS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()
+def letters(text: str) -> bytes:
+    """Lower-cased, with ASCII characters other than letters and digits blanked."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS)
 
 
 def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,62 +57,6 @@ def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return gram, np.repeat(np.arange(len(words)), size)
 
 
-class Model:
-    """Counts by gram; evidence() of words and score() of texts.
-
-    The values of a table stand at their keys' places among its sorted keys (k_ and the
-    table's name), and after them stands the value of absent keys, 0. A table without
-    keys is read at key mod its length."""
-
-    def __init__(self, tables: dict[str, np.ndarray], curve: tuple[float, float] = (1.0, 0.0)):
-        self.tables, self.curve, self.known = tables, curve, {}
-
-    def _at(self, name: str, key: np.ndarray) -> np.ndarray:
-        keys = self.tables.get("k_" + name)
-        if keys is None:
-            return key % len(self.tables[name])
-        at = np.searchsorted(keys, key)
-        at[at < len(keys)] = np.where(keys[at[at < len(keys)]] == key[at < len(keys)], at[at < len(keys)], len(keys))
-        return at
-
-    def _shared(self, g: np.ndarray) -> np.ndarray:
-        t, p = self.tables, 1 / 64
-        for order in (4, 5):
-            key = g & ((1 << 8 * order) - 1)
-            at, before = self._at(f"c{order}", key), self._at(f"n{order}", key >> 8)
-            seen = t[f"n{order}"][before]
-            mass = np.maximum(t[f"c{order}"][at] - DISCOUNT, 0) + DISCOUNT * t[f"f{order}"][before] * p
-            p = np.where(seen > 0, mass / np.maximum(seen, 1), p)
-        return p
-
-    def evidence(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.zeros(0)
-        every, word = word_grams(words)
-        g, each = np.unique(every, return_inverse=True)
-        t, low, at, before = self.tables, self._shared(g), self._at("g0", g), self._at("x0", g >> 8)
-        log = []
-        for c in "01":
-            seen = t["x" + c][before]
-            mass = np.maximum(t["g" + c][at] - DISCOUNT, 0) + DISCOUNT * t["f" + c][before] * low
-            log.append(np.log(np.where(seen > 0, mass / np.maximum(seen, 1), low)))
-        length = np.bincount(word, minlength=len(words))
-        return np.maximum(np.bincount(word, (log[1] - log[0])[each], len(words)) / np.maximum(length, 3) - MARGIN, 0)
-
-    def raw_scores(self, texts: list[str]) -> np.ndarray:
-        known, split = self.known, [words_of(t) for t in texts]
-        if len(known) > 200_000:
-            known.clear()
-        new = list({w for ws in split for w in ws} - known.keys())
-        for i in range(0, len(new), 20_000):
-            known.update(zip(new[i : i + 20_000], self.evidence(new[i : i + 20_000]).tolist(), strict=True))
-        return np.array([sum(map(known.__getitem__, ws)) / max(1, len(ws)) ** 0.5 for ws in split])
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        slope, bias = self.curve
-        return 1 / (1 + np.exp(-np.clip(slope * self.raw_scores(texts) + bias, -30, 30)))
-
-
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Logistic curve by Newton's method with a slight ridge; the prior share without x."""
     if not len(y) or y.min() == y.max():
@@ -123,96 +72,240 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+# Words
+
+
 def _count_words(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = (Counter(), Counter())
+    """(word, c0 .. c3) of (text, kind): how often the rows of each of four kinds hold a word."""
+    for b in rows:
+        kind, words, keys, counts = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64), {}, [], []
+        for p in text_pieces(b.column(0).to_pylist(), letters):
+            key, at, back = np.unique(p.hashes, return_index=True, return_inverse=True)
+            of = np.repeat(kind[p.number : p.number + len(p.first) - 1], np.diff(p.first))
+            keys.append(key)
+            counts.append(np.bincount(back * 4 + of, minlength=4 * len(key)).reshape(-1, 4))
+            for k, s, e in zip(key.tolist(), p.start[at].tolist(), p.end[at].tolist(), strict=True):
+                if k not in words:
+                    words[k] = p.data[s:e]
+        if words:
+            key, back = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.zeros((len(key), 4), np.int64)
+            np.add.at(total, back, np.concatenate(counts))
+            yield batches({"word": ([words[k] for k in key.tolist()], pa.binary())} | {f"c{c}": (total[:, c], pa.int64()) for c in range(4)})
 
-    def out() -> pa.RecordBatch:
-        words = list(counts[0].keys() | counts[1].keys())
-        return batches({"word": (words, pa.binary()), "c0": ([counts[0][w] for w in words], pa.int64()), "c1": ([counts[1][w] for w in words], pa.int64())})
 
+def _distinct_words(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word) of (text): each word at least once."""
+    sent: set[int] = set()
     for b in rows:
-        for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            counts[toxic].update(words_of(text))
-            if len(counts[0]) + len(counts[1]) > 150_000:
-                yield out()
-                counts[0].clear(), counts[1].clear()
-    yield out()
+        words = []
+        for p in text_pieces(b.column(0).to_pylist(), letters):
+            key, at = np.unique(p.hashes, return_index=True)
+            for k, s, e in zip(key.tolist(), p.start[at].tolist(), p.end[at].tolist(), strict=True):
+                if k not in sent:
+                    sent.add(k)
+                    words.append(p.data[s:e])
+        yield batches({"word": (words, pa.binary())})
+        if len(sent) > SENT:
+            sent.clear()
 
 
 def _count_grams(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, c0, c1) of (word, c0, c1)."""
     for b in rows:
-        words = b.column(0).to_pylist()
-        if words:
-            gram, word = word_grams(words)
+        for i in range(0, b.num_rows, GRAM_WORDS):
+            part = b.slice(i, GRAM_WORDS)
+            gram, word = word_grams(part.column(0).to_pylist())
             keys, at = np.unique(gram, return_inverse=True)
-            c = [np.bincount(at, b.column(k).to_numpy()[word], len(keys)).astype(np.int64) for k in (1, 2)]
+            c = [np.bincount(at, part.column(k).to_numpy()[word], len(keys)).astype(np.int64) for k in (1, 2)]
             yield batches({"gram": (keys, pa.int64()), "c0": (c[0], pa.int64()), "c1": (c[1], pa.int64())})
 
 
-def _table(df: DataFrame, key: str, **sums: str) -> dict[str, np.ndarray]:
-    """Sums by key, exact, with the sorted keys."""
-    got = df.groupBy(F.expr(key).alias("at")).agg(*[F.expr(f"sum({e})").cast("float").alias(k) for k, e in sums.items()]).toArrow()
-    keys = got["at"].to_numpy()
-    order = np.argsort(keys)
-    return {"k_" + next(iter(sums)): keys[order]} | {k: np.append(got[k].to_numpy()[order], np.float32(0)) for k in sums}
+def _grams(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, gram) of (word)."""
+    for b in rows:
+        for i in range(0, b.num_rows, GRAM_WORDS):
+            words = b.column(0).slice(i, GRAM_WORDS)
+            gram, word = word_grams(words.to_pylist())
+            yield batches({"word": (words.take(pa.array(word)), pa.binary()), "gram": (gram, pa.int64())})
 
 
-def _words(rows: DataFrame) -> DataFrame:
-    """(word, c0, c1): how often the rows of each class hold a word."""
-    counted = rows.select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
-    return counted.mapInArrow(_count_words, "word binary, c0 long, c1 long")
+def _distinct_grams(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in rows:
+        for i in range(0, b.num_rows, GRAM_WORDS):
+            yield batches({"gram": (np.unique(word_grams(b.column(0).slice(i, GRAM_WORDS).to_pylist())[0]), pa.int64())})
 
 
-def _counts(words: DataFrame) -> dict[str, np.ndarray]:
-    words = words.groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    grams = written(words.mapInArrow(_count_grams, "gram long, c0 long, c1 long").groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "grams")
-    five = grams.groupBy(F.expr("gram & 1099511627775L").alias("key")).agg(F.count("*").alias("n"))
-    four = five.groupBy(F.expr("key & 4294967295L").alias("key")).agg(F.count("*").alias("n"))
-    tables = _table(grams, "gram", g0="c0", g1="c1")
-    tables |= _table(grams, "shiftright(gram, 8)", x0="c0", x1="c1", f0="int(c0 > 0)", f1="int(c1 > 0)")
-    for order, df in ((5, five), (4, four)):
-        tables |= _table(df, "key", **{f"c{order}": "n"})
-        tables |= _table(df, "shiftright(key, 8)", **{f"n{order}": "n", f"f{order}": "1"})
-    return tables
-
-
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model of the rows whose crc32(doc_id as text) mod 5 is not 0. The curve is fitted
-    on fold 4 by the counts of the other folds; then fold 4 is counted too. A doc_id
-    labelled more than once is toxic if any row says so; null labels and ids count as
-    unlabelled."""
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
-    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold != TEST_FOLD)
-    mine = only_in_bitmap(text_rows(docs), "doc_id", key_bitmap(marks, "doc_id")).join(marks, "doc_id")
-    words = written(_words(mine.where(fold != CURVE_FOLD)).groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "words")
-    model = Model(_counts(words))
-    held = _scored(mine.where(fold == CURVE_FOLD).select("doc_id", "text"), model, raw=True).join(marks, "doc_id")
-    sample = held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS).select("score", "toxic").toArrow()
-    curve = fit_curve(sample["score"].to_numpy(), (sample["toxic"].to_numpy() > 0).astype(float))
-    return Model(_counts(words.unionByName(_words(mine.where(fold == CURVE_FOLD)))), curve)
+def distinct_words(rows: DataFrame) -> DataFrame:
+    return rows.select("text").mapInArrow(_distinct_words, "word binary").distinct()
 
 
-def _scored(rows: DataFrame, model: Model, raw: bool = False) -> DataFrame:
-    """rows, whose last column is text, with that column replaced by score."""
-    get = shared(rows.sparkSession, model)
+# The models
 
-    def score(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = get()
+
+@dataclass
+class Counts:
+    """grams: (key, c0, c1), counts of six bytes in either class. contexts: (context, x0,
+    x1, f0, f1), what follows five bytes: how often, and how many different ones.
+    shared: by order, (key, c) continuation counts and (context, n, f) of what follows.
+    two: the probability of each byte after each other one, by the two as a number."""
+
+    grams: DataFrame
+    contexts: DataFrame
+    shared: dict[int, tuple[DataFrame, DataFrame]]
+    two: np.ndarray
+
+
+def _low(bytes_: int) -> str:
+    return f"{(1 << 8 * bytes_) - 1}L"
+
+
+def counts(words: DataFrame) -> Counts:
+    """Of (word, c0, c1) rows, one or more a word."""
+    words = words.groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    grams = words.mapInArrow(_count_grams, "gram long, c0 long, c1 long").groupBy(F.col("gram").alias("key")).agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    grams = written(grams, "grams")
+    contexts = grams.groupBy(F.expr("shiftright(key, 8)").alias("context")).agg(
+        F.sum("c0").alias("x0"), F.sum("c1").alias("x1"), F.count(F.expr("nullif(c0, 0)")).alias("f0"), F.count(F.expr("nullif(c1, 0)")).alias("f1")
+    )
+    shared, seen = {}, grams
+    for order in (5, 4, 3):
+        seen = seen.groupBy(F.expr(f"key & {_low(order)}").alias("key")).agg(F.count("*").alias("c"))
+        shared[order] = seen, seen.groupBy(F.expr("shiftright(key, 8)").alias("context")).agg(F.sum("c").alias("n"), F.count("*").alias("f"))
+    got = seen.groupBy(F.expr(f"key & {_low(2)}").alias("key")).agg(F.count("*").alias("c")).toArrow()  # 65,536 rows at most
+    c2 = np.zeros((256, 256))
+    c2.reshape(-1)[got["key"].to_numpy()] = got["c"].to_numpy()
+    c1 = (c2 > 0).sum(0)
+    one = (np.maximum(c1 - DISCOUNT, 0) + DISCOUNT * (c1 > 0).sum() / 256) / c1.sum() if c1.any() else np.full(256, 1 / 256)
+    n = c2.sum(1, keepdims=True)
+    two = np.where(n > 0, (np.maximum(c2 - DISCOUNT, 0) + DISCOUNT * (c2 > 0).sum(1, keepdims=True) * one) / np.maximum(n, 1), one)
+    return Counts(grams, contexts, shared, two.reshape(-1))
+
+
+def _interpolated(c: str, n: str, f: str, low: str) -> str:
+    """Kneser-Ney's mix of a count out of n, of f different ones, with the lower order."""
+    return f"if(coalesce({n}, 0) > 0, (greatest(coalesce({c}, 0) - {DISCOUNT}D, 0D) + {DISCOUNT}D * {f} * {low}) / {n}, {low})"
+
+
+def ratios(grams: DataFrame, model: Counts) -> DataFrame:
+    """(key, ratio) of (key) rows, one a gram: log of its toxic over its ordinary
+    probability. Grams whose first five bytes no class knows have the ratio 0 and no row."""
+    known = grams.withColumn("context", F.expr("shiftright(key, 8)")).join(model.contexts, "context").drop("context")
+    known = written(known.join(model.grams, "key", "left"), "known-grams")
+    keys, held = {}, known
+    for order in (5, 4, 3):
+        held = keys[order] = held.select(F.expr(f"key & {_low(order)}").alias("key")).distinct()
+    two = model.two
+
+    def last_two(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            key = b.column(0).to_numpy()
+            yield batches({"key": (key, pa.int64()), "low": (two[key & 0xFFFF], pa.float64())})
+
+    low = keys[3].mapInArrow(last_two, "key long, low double")
+    for order in (3, 4, 5):
+        own, follow = model.shared[order]
+        if order > 3:
+            low = keys[order].withColumn("suffix", F.expr(f"key & {_low(order - 1)}")).join(low.withColumnRenamed("key", "suffix"), "suffix")
+        low = low.join(own, "key", "left").withColumn("context", F.expr("shiftright(key, 8)")).join(follow, "context", "left")
+        low = low.select("key", F.expr(_interpolated("c", "n", "f", "low")).alias("low"))
+    both = known.withColumn("suffix", F.expr(f"key & {_low(5)}")).join(low.withColumnRenamed("key", "suffix"), "suffix")
+    log = [f"ln({_interpolated(f'c{c}', f'x{c}', f'f{c}', 'low')})" for c in "01"]
+    return both.select("key", F.expr(f"{log[1]} - {log[0]}").alias("ratio"))
+
+
+def evidence(words: DataFrame, model: Counts) -> DataFrame:
+    """(word, evidence) of those of the distinct words that have any."""
+    grams = words.mapInArrow(_distinct_grams, "gram long").select(F.col("gram").alias("key")).distinct()
+    ratio = written(ratios(grams, model), "gram-ratios")
+    sums = words.mapInArrow(_grams, "word binary, gram long").join(ratio, F.col("gram") == F.col("key")).groupBy("word").agg(F.sum("ratio").alias("sum"))
+    above = F.round(F.col("sum") / F.greatest(F.octet_length("word") + 1, F.lit(3)) - MARGIN, 9)
+    return sums.select("word", above.alias("evidence")).where("evidence > 0")
+
+
+# Documents
+
+
+def raw_scores(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(doc_id, t, raw) of (doc_id, t, text) rows, t being a key of the text."""
+    lexicon = written(lexicon, "toxic-words")
+
+    def hashed(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for i in range(0, b.num_rows, 250):
-                part = b.slice(i, 250)
-                texts = part.column(part.num_columns - 1).to_pylist()
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array((m.raw_scores if raw else m.scores)(texts), pa.float64())], [*part.schema.names[:-1], "score"])
+            yield batches({"h": (np.concatenate([p.hashes for p in text_pieces(b.column(0).to_pylist(), bytes)] or [np.zeros(0, np.uint64)]).view(np.int64), pa.int64())})
+
+    sent = rows.sparkSession.sparkContext.broadcast(key_bitmap(lexicon.select("word").mapInArrow(hashed, "h long"), "h"))
 
-    return rows.mapInArrow(score, T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
+    def hits(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row with its number of words, then a row for each word that may count."""
+        for b in it:
+            ids, keys = b.column(0), b.column(1)
+            for p in text_pieces(b.column(2).to_pylist(), letters):
+                here = pa.array(np.arange(p.number, p.number + len(p.first) - 1))
+                n = np.diff(p.first)
+                may = np.flatnonzero(in_bitmap(sent.value, p.hashes.view(np.int64)))
+                of = np.searchsorted(p.first, may, side="right") - 1
+                # One row for each word of a text, with how often it stands there.
+                order = np.lexsort((p.hashes[may], of))
+                may, of = may[order], of[order]
+                new = np.ones(len(may), bool)
+                new[1:] = (of[1:] != of[:-1]) | (p.hashes[may[1:]] != p.hashes[may[:-1]])
+                at = np.flatnonzero(new)
+                times, may, of = np.diff(np.append(at, len(may))), may[at], pa.array(of[at] + p.number)
+                words = [p.data[s:e] for s, e in zip(p.start[may].tolist(), p.end[may].tolist(), strict=True)]
+                yield batches({"doc_id": (ids.take(here), pa.int64()), "t": (keys.take(here), pa.int64()), "word": ([None] * len(n), pa.binary()), "n": (n, pa.int64())})
+                yield batches({"doc_id": (ids.take(of), pa.int64()), "t": (keys.take(of), pa.int64()), "word": (words, pa.binary()), "n": (times, pa.int64())})
+
+    found = written(rows.select("doc_id", "t", "text").mapInArrow(hits, "doc_id long, t long, word binary, n long"), "toxic-hits")
+    once = found.where("word is not null").groupBy("doc_id", "t", "word").agg(F.max("n").alias("n"))  # rows may be repeated
+    sums = once.join(lexicon, "word").groupBy(F.col("doc_id").alias("d"), F.col("t").alias("k")).agg(F.sum(F.col("n") * F.col("evidence")).alias("sum"))
+    every = found.where("word is null").select("doc_id", "t", "n")
+    every = every.join(written(sums, "toxic-sums"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("k")), "left")
+    return every.select("doc_id", "t", F.coalesce(F.col("sum") / F.sqrt(F.greatest("n", F.lit(1))), F.lit(0.0)).alias("raw"))
+
+
+def _fold(doc_id: str = "doc_id") -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return text_rows(docs).withColumn("t", F.xxhash64("text"))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[Counts, tuple[float, float]]:
+    """The counts of the rows whose crc32(doc_id as text) mod 5 is not 0, and the curve,
+    which is fitted on fold 4 by the counts of the other folds. A doc_id labelled more
+    than once is toxic if any row says so; null labels and ids count as unlabelled."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
+    marks = written(marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(_fold() != TEST_FOLD), "toxic-labels")
+    mine = only_in_bitmap(text_rows(docs), "doc_id", key_bitmap(marks, "doc_id")).join(marks, "doc_id")
+    kind = F.when(F.col("toxic") > 0, 1).otherwise(0) + F.when(_fold() == CURVE_FOLD, 2).otherwise(0)
+    counted = mine.select("text", kind.alias("kind")).mapInArrow(_count_words, "word binary, c0 long, c1 long, c2 long, c3 long")
+    words = written(counted.groupBy("word").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(4)]), "words")
+    first = counts(words.where("c0 + c1 > 0").select("word", "c0", "c1"))
+    # The sample has CURVE_ROWS ids at most, so it may be broadcast.
+    ids = marks.where(_fold() == CURVE_FOLD).join(text_rows(docs).select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
+    held = _keyed(docs).join(F.broadcast(ids), "doc_id")
+    raw = raw_scores(held, evidence(distinct_words(held), first)).join(ids, "doc_id").select("raw", "toxic").toArrow()
+    curve = fit_curve(raw["raw"].to_numpy(), (raw["toxic"].to_numpy() > 0).astype(float))
+    return counts(words.select("word", (F.col("c0") + F.col("c2")).alias("c0"), (F.col("c1") + F.col("c3")).alias("c1"))), curve
+
+
+def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, t, score), one row per row of docs."""
+    model, (slope, bias) = train(docs, labels)
+    rows = _keyed(docs)
+    raw = raw_scores(rows, evidence(written(distinct_words(rows), "all-words"), model))
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("raw") * slope + bias))))
+    return raw.select("doc_id", "t", score.alias("score"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that score under 0.5; as toxicity()."""
+    gone = written(_scored(docs, labels).where("score >= 0.5").select(F.col("doc_id").alias("d"), F.col("t").alias("k")).distinct(), "toxic-rows")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    text = F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text")
-    return _scored(rows.select("row", text), train(docs, labels)).where("score < 0.5").select("row.*")
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("d")) & (F.xxhash64(empty_text("row.text")) == F.col("k"))
+    return rows.join(gone, same, "left_anti").select("row.*")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -223,6 +316,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     repeated rows score the same. Without labelled rows of both classes every score is
     the (smoothed) share of toxic labels. Other columns are not read.
     """
-    out = _scored(text_rows(docs), train(docs, labels))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == TEST_FOLD, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    held = F.coalesce(_fold() == TEST_FOLD, F.lit(False))
+    return _scored(docs, labels).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -1,8 +1,9 @@
 """Plain versions of the operators, one text or pair at a time."""
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 
@@ -80,3 +81,47 @@ def closure(pairs):
                     low[x] = start
                     todo += near[x]
     return low
+
+
+class KneserNey:
+    """Two classes of words, letter by letter: six bytes of each class over the shared
+    continuation counts of five and fewer, by the textbook's formulas."""
+
+    def __init__(self, words, discount=0.75):
+        """words: (word, class) pairs, repeated as often as they occur."""
+        self.d, self.top, self.shared = discount, (Counter(), Counter()), {}
+        for w, c in words:
+            self.top[c].update(self.grams(w))
+        seen = set(self.top[0]) | set(self.top[1])
+        for order in range(5, 0, -1):
+            self.shared[order] = Counter(g[1:] for g in seen)
+            seen = set(self.shared[order])
+        self.after = {k: self.follow(t) for k, t in [*self.shared.items(), ("0", self.top[0]), ("1", self.top[1])]}
+
+    @staticmethod
+    def grams(word):
+        raw = b"     " + word + b" "
+        return [raw[i : i + 6] for i in range(len(raw) - 5)]
+
+    @staticmethod
+    def follow(counts):
+        out = defaultdict(lambda: [0, 0])
+        for g, n in counts.items():
+            out[g[:-1]][0] += n
+            out[g[:-1]][1] += 1
+        return out
+
+    def mix(self, counts, after, gram, low):
+        n, f = after.get(gram[:-1], (0, 0))
+        return (max(counts[gram] - self.d, 0) + self.d * f * low) / n if n else low
+
+    def p(self, gram, order):
+        return self.mix(self.shared[order], self.after[order], gram, self.p(gram[1:], order - 1)) if order else 1 / 256
+
+    def evidence(self, word, margin):
+        total = 0.0
+        for g in self.grams(word):
+            low = self.p(g[1:], 5)
+            zero, one = (self.mix(self.top[c], self.after[str(c)], g, low) for c in (0, 1))
+            total += math.log(one) - math.log(zero)
+        return max(0.0, total / max(3, len(word) + 1) - margin)

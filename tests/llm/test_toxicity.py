@@ -1,8 +1,10 @@
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
+from brute import KneserNey
 from stratalog.llm import toxicity as tx
 
 
@@ -53,26 +55,6 @@ def test_grams():
     assert word.tolist() == [0, 0, 0, 1, 1]
 
 
-def test_probabilities_of_an_order_sum_to_one():
-    """With the buckets free of clashes the shared model is a distribution over letters."""
-    words = [b"abab", b"abba", b"baab", b"bbbb"] * 3
-    g, _ = tx.word_grams(words)
-    six = np.unique(g)
-    five, n5 = np.unique(six & ((1 << 40) - 1), return_counts=True)
-    four, n4 = np.unique(five & ((1 << 32) - 1), return_counts=True)
-    t = {k: np.zeros(tx.SHARED) for k in ("c5", "n5", "f5", "c4", "n4", "f4")}
-    for order, keys, n in ((5, five, n5), (4, four, n4)):
-        np.add.at(t[f"c{order}"], keys % tx.SHARED, n)
-        np.add.at(t[f"n{order}"], (keys >> 8) % tx.SHARED, n)
-        np.add.at(t[f"f{order}"], (keys >> 8) % tx.SHARED, 1)
-    context = int.from_bytes(b" ab", "big")
-    seen = [c for c in b"ab "]
-    p = tx.Model(t)._shared(np.array([(int.from_bytes(b"  ab", "big") << 8) | c for c in seen]))
-    follow = sum(t["c5"][((int.from_bytes(b"  ab", "big") << 8) | c) % tx.SHARED] > 0 for c in range(256))
-    rest = tx.Model(t)._shared(np.array([(int.from_bytes(b"  ab", "big") << 8) | c for c in range(256) if c not in seen]))
-    assert context and follow and (p > 0).all() and (rest > 0).all() and p.sum() < 1.0001
-
-
 def test_curve():
     x, y = np.array([0, 0.1, 0.2, 1, 1.1, 1.2]), np.array([0, 0, 0, 1, 1, 1.0])
     a, b = tx.fit_curve(x, y)
@@ -80,27 +62,71 @@ def test_curve():
     assert tx.fit_curve(np.zeros(0), np.zeros(0)) == (1.0, 0.0)
 
 
-def test_counts_are_exact(docs, labels):
-    """No two grams share a count, however many there are; absent ones count nothing."""
-    rng = random.Random(5)
-    rows = [(d, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(1_000))) for d in range(40)]
-    model = tx.train(docs(rows), labels([(d, 1, d % 2) for d, _ in rows]))
-    counted = [d for d, _ in rows if zlib.crc32(str(d).encode()) % tx.FOLDS != tx.TEST_FOLD]
-    for c in (0, 1):
-        grams, n = np.unique(np.concatenate([tx.word_grams(tx.words_of(t))[0] for d, t in rows if d in counted and d % 2 == c]), return_counts=True)
-        assert (model.tables[f"g{c}"][model._at("g0", grams)] == n).all()
-        assert model.tables[f"g{c}"].sum() == n.sum()
-        before, seen = np.unique(grams >> 8, return_counts=True)
-        assert (model.tables[f"f{c}"][model._at("x0", before)] == seen).all()
-    absent = tx.word_grams([b"\xc3\xa9\xc3\xa8\xc3\xa9"])[0]
-    assert (model.tables["g0"][model._at("g0", absent[2:])] == 0).all()
+def plain_words(text):
+    return "".join(c if ord(c) >= 128 or c.isalnum() else " " for c in (text or "").lower()).encode().split()
+
+
+def learnt(rows, marks, folds):
+    """A plain model of the labelled rows of some folds."""
+    toxic = {}
+    for d, _, y in marks:
+        toxic[d] = max(toxic.get(d, 0), y)
+    return KneserNey([(w, toxic[d]) for d, t in rows if d in toxic and zlib.crc32(str(d).encode()) % 5 in folds for w in plain_words(t)])
+
+
+def agrees(rows, marks, frame, labels):
+    """Every document's score is the plain models' one."""
+    out = {r.doc_id: r.score for r in tx.toxicity(frame, labels).collect()}
+    model, (slope, bias) = learnt(rows, marks, (1, 2, 3, 4)), tx.train(frame, labels)[1]
+    known = {}
+
+    def raw(model, t):
+        words = plain_words(t)
+        for w in words:
+            if w not in known:
+                known[w] = model.evidence(w, tx.MARGIN)
+        return sum(known[w] for w in words) / max(1, len(words)) ** 0.5
+
+    for d, t in rows:
+        assert out[d] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, slope * raw(model, t) + bias)))), abs=1e-6)
+    known.clear()
+    model, toxic = learnt(rows, marks, (1, 2, 3)), {d: y for d, _, y in marks}
+    four = [(raw(model, t), toxic[d]) for d, t in rows if d in toxic and zlib.crc32(str(d).encode()) % 5 == 4]
+    assert (slope, bias) == pytest.approx(tx.fit_curve(np.array([x for x, _ in four]), np.array([float(y) for _, y in four])), rel=1e-4)
+    return out
+
 
+def test_against_plain_kneser_ney(docs, labels):
+    rows, marks = corpus(300, seed=9)
+    out = agrees(rows, marks, docs(rows), labels(marks))
+    assert len({round(s, 6) for s in out.values()}) > 10
 
-def test_curve_fold_is_learnt_from(docs, labels):
+
+def test_table_against_plain_kneser_ney(table):
+    rows = [(r.doc_id, r.text) for r in table("documents").collect()]
+    marks = [(r.doc_id, r.quality, r.toxic) for r in table("labels").collect()]
+    agrees(rows, marks, table("documents"), table("labels"))
+
+
+def test_plain_probabilities_sum_to_one():
+    """So those of the operator, which agree, do too."""
+    model = KneserNey([(w, k % 2) for k, w in enumerate([b"abab", b"abba", b"baab", b"bbbb"] * 3)])
+    for order, context in ((5, b"  ab"), (3, b"ab"), (2, b"a"), (1, b""), (4, b"zzz")):
+        assert sum(model.p(context + bytes([x]), order) for x in range(256)) == pytest.approx(1)
+
+
+def test_curve_fold_is_learnt_from(spark, docs, labels):
     """An expression that only fold 4 holds is known."""
     rows, marks = corpus()
     four = [d for d, _, y in marks if y and zlib.crc32(str(d).encode()) % tx.FOLDS == tx.CURVE_FOLD]
     rows = [(d, t + " vexbrumf vexbrumf" if d in four else t) for d, t in rows]
-    rows.append((10_001, "vexbrumf"))
-    model = tx.train(docs(rows), labels(marks))
-    assert model.evidence([b"vexbrumf"])[0] > 0 == model.evidence([b"thean"])[0]
+    asked = spark.createDataFrame([(bytearray(b"vexbrumf"),), (bytearray(b"thean"),)], "word binary")
+    got = tx.evidence(asked, tx.train(docs(rows), labels(marks))[0]).collect()
+    assert [bytes(r.word) for r in got] == [b"vexbrumf"]
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(docs, labels):
+    rows, marks = corpus()
+    rows += [(None, "zorgle quxfip zorgle"), (None, "thean"), (10_000, "zorgle quxfip zorgle"), (10_000, "thean"), (10_000, "thean")]
+    kept = sorted((r.doc_id or 0, r.text) for r in tx.accepted(docs(rows), labels(marks)).collect() if r.doc_id is None or r.doc_id == 10_000)
+    assert kept == [(0, "thean"), (10_000, "thean"), (10_000, "thean")]
