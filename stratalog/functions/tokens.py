@@ -37,12 +37,20 @@ def _little(hexes: str, at: str) -> str:
     return f"cast(conv(concat({pairs}), 16, -10) as bigint)"
 
 
-def _spin_1(k: str) -> str:
-    return f"({_rot(f'({k} * {_long(C1)})', 31)} * {_long(C2)})"
+def _let(value: str, name: str, body: str) -> str:
+    """body with name for value. A lambda's variable stands for the value however often the
+    body names it, and also where a filter takes the expression along to the scan, so that
+    expressions grow with their number of steps and do not double with each."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _spin_2(k: str) -> str:
-    return f"({_rot(f'({k} * {_long(C2)})', 33)} * {_long(C1)})"
+def _spin(k: str, first: int, turn: int, then: int) -> str:
+    return _let(f"{k} * {_long(first)}", "_y", f"{_rot('_y', turn)} * {_long(then)}")
+
+
+def _mixed(h: str) -> str:
+    # The shift widths.
+    return f"aggregate(array({_long(MIX_1)}, {_long(MIX_2)}, 1L), {h}, (_a, _m) -> (_a ^ shiftrightunsigned(_a, 33)) * _m)"
 
 
 def wrapping(df: DataFrame, steps: list[tuple[str, str]]) -> DataFrame:
@@ -60,29 +68,23 @@ def wrapping(df: DataFrame, steps: list[tuple[str, str]]) -> DataFrame:
 
 
 def with_token(df: DataFrame, key: str = "key", out: str = "token") -> DataFrame:
-    """Add the token of a string or binary key."""
-    a, b = "_s.a", "_s.b"
-    next_a = f"({_rot(f'({a} ^ {_spin_1("_k.x")})', 27)} + {b}) * 5L + {_long(ADD_1)}"
-    steps = [
-        ("_hex", f"hex(cast({key} as binary))"),
-        ("_len", f"cast(octet_length({key}) as bigint)"),
-        ("_n", "cast(_len div 16 as int)"),
-        ("_blocks", f"transform(if(_n > 0, sequence(0, _n - 1), cast(array() as array<int>)), i -> named_struct('x', {_little('_hex', '32 * i + 1')}, 'y', {_little('_hex', '32 * i + 17')}))"),
-        ("_tail", "rpad(substr(_hex, 32 * _n + 1), 32, '0')"),
-        ("_h", f"""aggregate(_blocks, named_struct('a', {_long(SEED_1)}, 'b', {_long(SEED_2)}), (_s, _k) ->
-            named_struct('a', {next_a}, 'b', ({_rot(f'({b} ^ {_spin_2("_k.y")})', 31)} + {next_a}) * 5L + {_long(ADD_2)}))"""),
-        ("_1", f"_h.a ^ {_spin_1(_little('_tail', '1'))} ^ _len"),
-        ("_2", f"_h.b ^ {_spin_2(_little('_tail', '17'))} ^ _len"),
-        ("_1", "_1 + _2"),
-        ("_2", "_2 + _1"),
-    ]
-    for h in ("_1", "_2"):
-        for factor in (MIX_1, MIX_2, None):
-            steps.append((h, f"{h} ^ shiftrightunsigned({h}, 33)"))
-            if factor:
-                steps.append((h, f"{h} * {_long(factor)}"))
-    steps.append((out, "_1 + _2"))
-    return wrapping(df, steps).drop("_hex", "_len", "_n", "_blocks", "_tail", "_h", "_1", "_2")
+    """Add the token of a string or binary key; that of a null key is 0, so that a token is
+    never null and no join has to ask."""
+    blocks = f"transform(if(_k.n > 0, sequence(0, _k.n - 1), cast(array() as array<int>)), i -> named_struct('x', {_little('_k.x', '32 * i + 1')}, 'y', {_little('_k.x', '32 * i + 17')}))"
+    # The turns of each step.
+    a = f"({_rot('_a', 27)} + _s.b) * 5L + {_long(ADD_1)}"
+    b = f"({_rot('_b', 31)} + _n.a) * 5L + {_long(ADD_2)}"
+    a = _let(f"_s.a ^ {_spin('_x.x', C1, 31, C2)}", "_a", a)
+    b = _let(f"_s.b ^ {_spin('_x.y', C2, 33, C1)}", "_b", b)
+    step = _let(f"named_struct('a', {a})", "_n", f"named_struct('a', _n.a, 'b', {b})")
+    hashed = f"aggregate({blocks}, named_struct('a', {_long(SEED_1)}, 'b', {_long(SEED_2)}), (_s, _x) -> {step})"
+    tail = "rpad(substr(_k.x, 32 * _k.n + 1), 32, '0')"
+    ends = f"named_struct('a', _h.a ^ {_spin(_little('_t', '1'), C1, 31, C2)} ^ _k.len, 'b', _h.b ^ {_spin(_little('_t', '17'), C2, 33, C1)} ^ _k.len)"
+    ends = _let(hashed, "_h", _let(tail, "_t", ends))
+    token = _let(ends, "_e", f"{_mixed('(_e.a + _e.b)')} + {_mixed('(_e.a + 2L * _e.b)')}")
+    length = f"cast(octet_length({key}) as bigint)"
+    whole = _let(f"named_struct('x', hex(cast({key} as binary)), 'len', {length}, 'n', cast({length} div 16 as int))", "_k", token)
+    return wrapping(df, [(out, f"coalesce({whole}, 0L)")])
 
 
 def bloom_size(n: int, fpp: float = 0.01) -> tuple[int, int]:
@@ -99,11 +101,10 @@ def bloom_size_columns(n: Column, fpp: float = 0.01) -> tuple[Column, Column]:
 
 def with_bloom_positions(df: DataFrame, bits: str = "bits", hashes: str = "hashes", out: str = "positions") -> DataFrame:
     """Add the bit positions of each row's token in a filter of `bits` bits."""
-    steps = [("_g", "(~token) + shiftleft(token, 21)"), ("_g", "_g ^ shiftrightunsigned(_g, 24)")]
-    steps += [("_g", "(_g + shiftleft(_g, 3)) + shiftleft(_g, 8)"), ("_g", "_g ^ shiftrightunsigned(_g, 14)")]
-    steps += [("_g", "(_g + shiftleft(_g, 2)) + shiftleft(_g, 4)"), ("_g", "_g ^ shiftrightunsigned(_g, 28)"), ("_g", "_g + shiftleft(_g, 31)")]
-    steps += [(out, f"transform(sequence(0, {hashes} - 1), i -> ((token + cast(i as bigint) * _g) & 9223372036854775807L) % {bits})")]
-    return wrapping(df, steps).drop("_g")
+    # Shift widths and factors of the second hash (x + (x << 3) + (x << 8) is 265 x, and so on).
+    second = "aggregate(array(named_struct('r', 24, 'm', 265L), named_struct('r', 14, 'm', 21L), named_struct('r', 28, 'm', 2147483649L)), token * 2097151L - 1L, (_a, _m) -> (_a ^ shiftrightunsigned(_a, _m.r)) * _m.m)"
+    found = _let(second, "_g", f"transform(sequence(0, {hashes} - 1), i -> ((token + cast(i as bigint) * _g) & 9223372036854775807L) % {bits})")
+    return wrapping(df, [(out, found)])
 
 
 def _crc_table() -> np.ndarray:

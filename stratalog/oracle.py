@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions.tokens import C1, C2, MIX_1, MIX_2, SEED_1, SEED_2
-from .queries import EVERY, GRACE, HIGH_TOKEN, LOW_TOKEN, NOW
+from .queries import GRACE, HIGH_TOKEN, LOW_TOKEN, NOW
 
 _M = "18446744073709551615::UHUGEINT"
 _W = "18446744073709551616::UHUGEINT"
@@ -81,7 +81,7 @@ placed AS (SELECT m.*, k.token, CASE WHEN generation >= 10 THEN 0 WHEN generatio
     if files == "generations":
         placed = "\nplaced AS (SELECT m.*, k.token, 0 AS level, generation AS file_id FROM mutations m JOIN tokens k USING (key))"
     return f"""{_mutations(tied)},
-wanted AS (SELECT DISTINCT key FROM mutations WHERE CAST(substr(key, 6, 6) AS INT) % {EVERY} = 0 UNION ALL SELECT 'nobody:' || i FROM range(20) r(i)),
+wanted AS (SELECT DISTINCT key FROM mutations UNION ALL SELECT 'nobody:' || i FROM range(20) r(i)),
 every_key AS (SELECT key FROM mutations UNION SELECT key FROM wanted),{_tokens('every_key')},
 asked AS (SELECT key, token FROM wanted JOIN tokens USING (key)),
 memory AS {_latest("(SELECT *, CASE WHEN generation = 15 THEN 0 ELSE 1 END AS tier FROM mutations WHERE generation >= 14)", "tier, key, name")},{placed.replace("generation < 15", "generation < 14")},
