@@ -8,11 +8,10 @@ log-likelihood, divided by its length, above a margin; a document's is the sum o
 words divided by the root of their number. A logistic curve fitted on a held-back fold
 turns it into a probability.
 
-All labelled rows of the training folds are counted, exactly, and nothing that grows with
-the input is sent to every task: counts of grams meet the grams of the corpus's distinct
-words by joins in which a key has at most 256 partners (the last or first byte of a gram),
-evidence is summed per distinct word, and documents send only words that a bitmap of a
-fixed size can't rule out of the words with evidence.
+All labelled rows of the training folds are counted, exactly, by their grams, so the model
+grows with the input. It is held in blocks of a bounded size, which only the distinct words
+of the corpus meet; documents then send just those words that a bitmap of a fixed size
+can't rule out of the words with evidence, and these are joined.
 """
 
 from __future__ import annotations
@@ -34,8 +33,10 @@ CURVE_ROWS = 20_000
 FOLDS, TEST_FOLD, CURVE_FOLD = 5, 0, 4
 #: Words of which a task remembers that it has sent them.
 SENT = 300_000
-#: Words whose grams are sent at once.
-GRAM_WORDS = 20_000
+#: Words whose grams are made at once, and grams that a task works on at once, at least.
+GRAM_WORDS, GROUP_ROWS = 20_000, 100_000
+#: Grams and contexts of a block of the model, about (32 MB), and the prime that deals them out.
+BLOCK_GRAMS, SPREAD = 1 << 21, 999_983
 
 _LETTERS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -121,21 +122,6 @@ def _count_grams(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batches({"gram": (keys, pa.int64()), "c0": (c[0], pa.int64()), "c1": (c[1], pa.int64())})
 
 
-def _grams(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, gram) of (word)."""
-    for b in rows:
-        for i in range(0, b.num_rows, GRAM_WORDS):
-            words = b.column(0).slice(i, GRAM_WORDS)
-            gram, word = word_grams(words.to_pylist())
-            yield batches({"word": (words.take(pa.array(word)), pa.binary()), "gram": (gram, pa.int64())})
-
-
-def _distinct_grams(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in rows:
-        for i in range(0, b.num_rows, GRAM_WORDS):
-            yield batches({"gram": (np.unique(word_grams(b.column(0).slice(i, GRAM_WORDS).to_pylist())[0]), pa.int64())})
-
-
 def distinct_words(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(_distinct_words, "word binary").distinct()
 
@@ -143,84 +129,131 @@ def distinct_words(rows: DataFrame) -> DataFrame:
 # The models
 
 
-@dataclass
-class Counts:
-    """grams: (key, c0, c1), counts of six bytes in either class. contexts: (context, x0,
-    x1, f0, f1), what follows five bytes: how often, and how many different ones.
-    shared: by order, (key, c) continuation counts and (context, n, f) of what follows.
-    two: the probability of each byte after each other one, by the two as a number."""
-
-    grams: DataFrame
-    contexts: DataFrame
-    shared: dict[int, tuple[DataFrame, DataFrame]]
-    two: np.ndarray
+def _mix(c: np.ndarray, n: np.ndarray, f: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Kneser-Ney's mix of counts out of n, of f different ones, with the lower order."""
+    return np.where(n > 0, (np.maximum(c - DISCOUNT, 0) + DISCOUNT * f * low) / np.maximum(n, 1), low)
 
 
-def _low(bytes_: int) -> str:
-    return f"{(1 << 8 * bytes_) - 1}L"
+def _suffixes(keys: np.ndarray, bytes_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct keys their distinct last bytes, how many keys end in each (its
+    continuation count), and the sum and the number of these after the same context."""
+    key, c = np.unique(keys & ((1 << 8 * bytes_) - 1), return_counts=True)
+    _, at = np.unique(key >> 8, return_inverse=True)
+    return key, c, np.bincount(at, c)[at], np.bincount(at)[at]
 
 
-def counts(words: DataFrame) -> Counts:
-    """Of (word, c0, c1) rows, one or more a word."""
+@dataclass
+class LowOrders:
+    """The shared probabilities of a byte after two others, by the three of them."""
+
+    key: np.ndarray
+    p: np.ndarray
+
+    @classmethod
+    def of(cls, key: np.ndarray, c: np.ndarray) -> LowOrders:
+        """Of the distinct last three bytes of grams and their continuation counts."""
+        one, c1, n1, f1 = _suffixes(np.unique(key & 0xFFFF), 1)
+        low = np.full(256, 1 / 256)
+        low[one] = _mix(c1, n1, f1, low[one])
+        two, c2, n2, f2 = _suffixes(key, 2)
+        low = _mix(c2, n2, f2, low[two & 0xFF])
+        _, at = np.unique(key >> 8, return_inverse=True)
+        return cls(key, _mix(c, np.bincount(at, c)[at], np.bincount(at)[at], low[np.searchsorted(two, key & 0xFFFF)]))
+
+
+def gram_ratios(gram: np.ndarray, c0: np.ndarray, c1: np.ndarray, three: LowOrders) -> tuple[np.ndarray, np.ndarray]:
+    """(key, ratio): the log of the toxic over the ordinary probability of each gram, and
+    under -1 - context that of any other gram after its first five bytes. The grams are all
+    those with the same third to fifth bytes, of one or more such groups: every count that
+    is needed, but those of three bytes and fewer, is among them."""
+    five, c5, n5, f5 = _suffixes(gram, 5)
+    four, c4, n4, f4 = _suffixes(five, 4)
+    low = _mix(c4, n4, f4, three.p[np.searchsorted(three.key, four & 0xFFFFFF)])
+    low = _mix(c5, n5, f5, low[np.searchsorted(four, five & 0xFFFFFFFF)])[np.searchsorted(five, gram & 0xFFFFFFFFFF)]
+    context, at = np.unique(gram >> 8, return_inverse=True)
+    seen, other = [], []
+    for c in (c0, c1):
+        n, f = np.bincount(at, c), np.bincount(at, c > 0)
+        seen.append(_mix(c, n[at], f[at], low))
+        other.append(_mix(np.zeros(len(n)), n, f, np.ones(len(n))))
+    return np.concatenate([gram, -1 - context]), np.concatenate([np.log(seen[1] / seen[0]), np.log(other[1] / other[0])])
+
+
+def train_ratios(words: DataFrame) -> DataFrame:
+    """(key, ratio) of gram_ratios() from (word, c0, c1) rows, one or more a word: one
+    shuffle by the three bytes that all orders share. A group of them has 2**24 grams at
+    most; what all groups need, the counts of three bytes, has 2**24 rows at most."""
     words = words.groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    grams = words.mapInArrow(_count_grams, "gram long, c0 long, c1 long").groupBy(F.col("gram").alias("key")).agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    grams = words.mapInArrow(_count_grams, "gram long, c0 long, c1 long").groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     grams = written(grams, "grams")
-    contexts = grams.groupBy(F.expr("shiftright(key, 8)").alias("context")).agg(
-        F.sum("c0").alias("x0"), F.sum("c1").alias("x1"), F.count(F.expr("nullif(c0, 0)")).alias("f0"), F.count(F.expr("nullif(c1, 0)")).alias("f1")
-    )
-    shared, seen = {}, grams
-    for order in (5, 4, 3):
-        seen = seen.groupBy(F.expr(f"key & {_low(order)}").alias("key")).agg(F.count("*").alias("c"))
-        shared[order] = seen, seen.groupBy(F.expr("shiftright(key, 8)").alias("context")).agg(F.sum("c").alias("n"), F.count("*").alias("f"))
-    got = seen.groupBy(F.expr(f"key & {_low(2)}").alias("key")).agg(F.count("*").alias("c")).toArrow()  # 65,536 rows at most
-    c2 = np.zeros((256, 256))
-    c2.reshape(-1)[got["key"].to_numpy()] = got["c"].to_numpy()
-    c1 = (c2 > 0).sum(0)
-    one = (np.maximum(c1 - DISCOUNT, 0) + DISCOUNT * (c1 > 0).sum() / 256) / c1.sum() if c1.any() else np.full(256, 1 / 256)
-    n = c2.sum(1, keepdims=True)
-    two = np.where(n > 0, (np.maximum(c2 - DISCOUNT, 0) + DISCOUNT * (c2 > 0).sum(1, keepdims=True) * one) / np.maximum(n, 1), one)
-    return Counts(grams, contexts, shared, two.reshape(-1))
-
-
-def _interpolated(c: str, n: str, f: str, low: str) -> str:
-    """Kneser-Ney's mix of a count out of n, of f different ones, with the lower order."""
-    return f"if(coalesce({n}, 0) > 0, (greatest(coalesce({c}, 0) - {DISCOUNT}D, 0D) + {DISCOUNT}D * {f} * {low}) / {n}, {low})"
-
-
-def ratios(grams: DataFrame, model: Counts) -> DataFrame:
-    """(key, ratio) of (key) rows, one a gram: log of its toxic over its ordinary
-    probability. Grams whose first five bytes no class knows have the ratio 0 and no row."""
-    known = grams.withColumn("context", F.expr("shiftright(key, 8)")).join(model.contexts, "context").drop("context")
-    known = written(known.join(model.grams, "key", "left"), "known-grams")
-    keys, held = {}, known
-    for order in (5, 4, 3):
-        held = keys[order] = held.select(F.expr(f"key & {_low(order)}").alias("key")).distinct()
-    two = model.two
-
-    def last_two(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    four = grams.select(F.expr("gram & 4294967295L").alias("key")).distinct()
+    got = four.groupBy(F.expr("key & 16777215L").alias("key")).agg(F.count("*").alias("c")).orderBy("key").toArrow()
+    sent = grams.sparkSession.sparkContext.broadcast(LowOrders.of(got["key"].to_numpy(), got["c"].to_numpy()))
+
+    def ratios(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out(cols: list[np.ndarray]) -> pa.RecordBatch:
+            key, ratio = gram_ratios(*cols, sent.value)
+            return batches({"key": (key, pa.int64()), "ratio": (ratio, pa.float64())})
+
         for b in rows:
-            key = b.column(0).to_numpy()
-            yield batches({"key": (key, pa.int64()), "low": (two[key & 0xFFFF], pa.float64())})
-
-    low = keys[3].mapInArrow(last_two, "key long, low double")
-    for order in (3, 4, 5):
-        own, follow = model.shared[order]
-        if order > 3:
-            low = keys[order].withColumn("suffix", F.expr(f"key & {_low(order - 1)}")).join(low.withColumnRenamed("key", "suffix"), "suffix")
-        low = low.join(own, "key", "left").withColumn("context", F.expr("shiftright(key, 8)")).join(follow, "context", "left")
-        low = low.select("key", F.expr(_interpolated("c", "n", "f", "low")).alias("low"))
-    both = known.withColumn("suffix", F.expr(f"key & {_low(5)}")).join(low.withColumnRenamed("key", "suffix"), "suffix")
-    log = [f"ln({_interpolated(f'c{c}', f'x{c}', f'f{c}', 'low')})" for c in "01"]
-    return both.select("key", F.expr(f"{log[1]} - {log[0]}").alias("ratio"))
-
-
-def evidence(words: DataFrame, model: Counts) -> DataFrame:
-    """(word, evidence) of those of the distinct words that have any."""
-    grams = words.mapInArrow(_distinct_grams, "gram long").select(F.col("gram").alias("key")).distinct()
-    ratio = written(ratios(grams, model), "gram-ratios")
-    sums = words.mapInArrow(_grams, "word binary, gram long").join(ratio, F.col("gram") == F.col("key")).groupBy("word").agg(F.sum("ratio").alias("sum"))
+            held.append([c.to_numpy() for c in b.columns])
+            size += b.num_rows
+            if size >= GROUP_ROWS:
+                cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+                group = (cols[0] >> 8) & 0xFFFFFF
+                last = int(np.searchsorted(group, group[-1]))  # the last group may go on
+                if last:
+                    yield out([c[:last] for c in cols])
+                held, size = [[c[last:] for c in cols]], len(group) - last
+        if size:
+            yield out([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    group = F.expr("shiftright(gram, 8) & 16777215L")
+    return grams.withColumn("of", group).repartition("of").sortWithinPartitions("of").select("gram", "c0", "c1").mapInArrow(ratios, "key long, ratio double")
+
+
+def word_sums(words: list[bytes], key: np.ndarray, ratio: np.ndarray, block: int, blocks: int) -> np.ndarray:
+    """For each word the sum of the ratios of those of its grams whose context is filed in
+    the block, whose sorted keys and ratios are given."""
+    gram, word = word_grams(words)
+    mine = (gram >> 8) % SPREAD % blocks == block
+    distinct, back = np.unique(gram[mine], return_inverse=True)
+    value = np.zeros(len(distinct))
+    if len(key):
+        for want in (-1 - (distinct >> 8), distinct):
+            at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+            value = np.where(key[at] == want, ratio[at], value)
+    return np.bincount(word[mine], value[back], len(words))
+
+
+def evidence(words: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(word, evidence) of those of the distinct words that have any.
+
+    The ratios are held in blocks of a bounded size, by context, each one pass over the
+    distinct words (never over documents); sums over blocks are added up by word."""
+    spark, ratios = words.sparkSession, written(ratios, "gram-ratios")
+    blocks = max(1, -(-ratios.count() // BLOCK_GRAMS))
+    context = F.expr("if(key < 0, -1L - key, shiftright(key, 8))")
+    every = None
+    for block in range(blocks):
+        got = ratios.where(context % SPREAD % blocks == block).select("key", F.col("ratio")).toArrow()
+        order = np.argsort(got["key"].to_numpy())
+        sent = spark.sparkContext.broadcast((got["key"].to_numpy()[order], got["ratio"].to_numpy()[order]))
+
+        def sums(rows: Iterable[pa.RecordBatch], sent=sent, block=block) -> Iterator[pa.RecordBatch]:
+            for b in rows:
+                for i in range(0, b.num_rows, GRAM_WORDS):
+                    part = b.column(0).slice(i, GRAM_WORDS)
+                    yield batches({"word": (part, pa.binary()), "sum": (word_sums(part.to_pylist(), *sent.value, block, blocks), pa.float64())})
+
+        here = words.mapInArrow(sums, "word binary, sum double")
+        every = here if every is None else every.unionByName(here.where("sum <> 0"))
+    if blocks > 1:
+        every = every.groupBy("word").agg(F.sum("sum").alias("sum"))
     above = F.round(F.col("sum") / F.greatest(F.octet_length("word") + 1, F.lit(3)) - MARGIN, 9)
-    return sums.select("word", above.alias("evidence")).where("evidence > 0")
+    return every.select("word", above.alias("evidence")).where("evidence > 0")
 
 
 # Documents
@@ -272,8 +305,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return text_rows(docs).withColumn("t", F.xxhash64("text"))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[Counts, tuple[float, float]]:
-    """The counts of the rows whose crc32(doc_id as text) mod 5 is not 0, and the curve,
+def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, tuple[float, float]]:
+    """The ratios learnt from the rows whose crc32(doc_id as text) mod 5 is not 0, and the curve,
     which is fitted on fold 4 by the counts of the other folds. A doc_id labelled more
     than once is toxic if any row says so; null labels and ids count as unlabelled."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
@@ -282,13 +315,13 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Counts, tuple[float, floa
     kind = F.when(F.col("toxic") > 0, 1).otherwise(0) + F.when(_fold() == CURVE_FOLD, 2).otherwise(0)
     counted = mine.select("text", kind.alias("kind")).mapInArrow(_count_words, "word binary, c0 long, c1 long, c2 long, c3 long")
     words = written(counted.groupBy("word").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(4)]), "words")
-    first = counts(words.where("c0 + c1 > 0").select("word", "c0", "c1"))
+    first = train_ratios(words.where("c0 + c1 > 0").select("word", "c0", "c1"))
     # The sample has CURVE_ROWS ids at most, so it may be broadcast.
     ids = marks.where(_fold() == CURVE_FOLD).join(text_rows(docs).select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
     held = _keyed(docs).join(F.broadcast(ids), "doc_id")
     raw = raw_scores(held, evidence(distinct_words(held), first)).join(ids, "doc_id").select("raw", "toxic").toArrow()
     curve = fit_curve(raw["raw"].to_numpy(), (raw["toxic"].to_numpy() > 0).astype(float))
-    return counts(words.select("word", (F.col("c0") + F.col("c2")).alias("c0"), (F.col("c1") + F.col("c3")).alias("c1"))), curve
+    return train_ratios(words.select("word", (F.col("c0") + F.col("c2")).alias("c0"), (F.col("c1") + F.col("c3")).alias("c1"))), curve
 
 
 def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -96,7 +96,9 @@ def agrees(rows, marks, frame, labels):
     return out
 
 
-def test_against_plain_kneser_ney(docs, labels):
+def test_against_plain_kneser_ney(docs, labels, monkeypatch):
+    monkeypatch.setattr(tx, "BLOCK_GRAMS", 700)  # several blocks and groups
+    monkeypatch.setattr(tx, "GROUP_ROWS", 100)
     rows, marks = corpus(300, seed=9)
     out = agrees(rows, marks, docs(rows), labels(marks))
     assert len({round(s, 6) for s in out.values()}) > 10
