@@ -4,6 +4,7 @@ connected components and the word rules."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import pickle
 import re
 import shutil
@@ -11,9 +12,10 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 from dataclasses import dataclass
+from functools import wraps
 from typing import TypeVar
 
 import numpy as np
@@ -105,6 +107,27 @@ def shared(spark: SparkSession, value: T) -> Callable[[], T]:
     return get
 
 
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(f: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """f, after which the worker gives the memory that it no longer needs back to the
+    system: workers wait for their next task, some of them beside busy ones."""
+
+    @wraps(f)
+    def run(*args, **more) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from f(*args, **more)
+        finally:
+            with suppress(AttributeError, OSError):  # a system without malloc_trim
+                _trim()
+
+    return run
+
+
 def empty_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
@@ -144,6 +167,7 @@ def only_in_bitmap(df: DataFrame, key: str, words: np.ndarray) -> DataFrame:
     """The rows of df whose key may be in the bitmap; null keys go."""
     shared = df.sparkSession.sparkContext.broadcast(words)
 
+    @lean
     def keep(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             k = b.column(b.schema.get_field_index(key))
@@ -153,10 +177,23 @@ def only_in_bitmap(df: DataFrame, key: str, words: np.ndarray) -> DataFrame:
     return df.mapInArrow(keep, df.schema)
 
 
+#: Into how many parts the rows of one key are dealt.
+SALTS = 16
+
+
+def looked_up(rows: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
+    """rows with the columns of small(key, ...), null where it has no such key. The rows of
+    a very common key are dealt out by a hash of `by`, small being repeated for each part;
+    keep small to the keys that need it."""
+    dealt = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(dealt, [key, "_part"], "left").drop("_part")
+
+
 #: Edges up to which one task finishes the components (16 MB); beyond, star rounds go on.
 ONE_TASK_EDGES = 1_000_000
 
 
+@lean
 def _union(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     root: dict = {}
 
@@ -297,10 +334,11 @@ class Piece:
     first: np.ndarray
 
 
-def text_pieces(texts: list, plain: Callable[..., bytes]) -> Iterator[Piece]:
+def text_pieces(texts: list | pa.Array, plain: Callable[..., bytes]) -> Iterator[Piece]:
     """Texts made plain and put together until they reach a size; a longer one is alone."""
     held, size, number = [], 0, 0
-    for k, text in enumerate(texts):
+    each = texts if isinstance(texts, list) else (x for i in range(0, len(texts), 256) for x in texts.slice(i, 256).to_pylist())
+    for k, text in enumerate(each):
         held.append(plain(text))
         size += len(held[-1]) + 1
         if size >= PIECE or k == len(texts) - 1:

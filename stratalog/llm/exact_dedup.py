@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_rows, written
+from .common import looked_up, text_rows, written
 
 SALTS = 16
 
@@ -35,15 +35,17 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, sa
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts))
     salted = rows.groupBy("digest", salt.alias("salt"), "text").agg(F.max("doc_id").alias("best"), F.count("*").alias("n"))
     winners = salted.groupBy("digest", "text").agg(F.max("best").alias("keep_id"), F.sum("n").alias("group_size"))
-    by_digest = written(
-        winners.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count("*").alias("texts")),
-        "exact-groups",
-    )
-    out = rows.join(by_digest.where("texts = 1").drop("texts"), "digest")
-    if clash := by_digest.where("texts > 1").take(1):
-        assert clash[0]["texts"] > 1
-        clashing = by_digest.where("texts > 1").select("digest")
-        out = out.unionByName(rows.join(clashing, "digest", "left_semi").join(winners, ["digest", "text"]))
+    groups = winners.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count("*").alias("texts"))
+    several = written(groups.where("group_size > 1"), "exact-groups")
+    # Rows whose digest no other row has need no partner; those of the others are dealt out.
+    alone = F.col("texts").isNull()
+    out = looked_up(rows, several, "digest", "doc_id").where("texts is null or texts = 1").select(
+        "doc_id", "digest", "text", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(alone, 1).otherwise(F.col("group_size")).cast("long").alias("group_size"),
+    )
+    if several.where("texts > 1").take(1):  # different texts with one digest are told apart by the text
+        clashing, content = several.where("texts > 1").select("digest"), F.struct("digest", "text").alias("content")
+        best = winners.join(clashing, "digest", "left_semi").select(content, "keep_id", "group_size")
+        out = out.unionByName(looked_up(rows.join(clashing, "digest", "left_semi").select("*", content), best, "content", "doc_id").select(*out.columns))
     return out.select(
         "doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"),
         (F.col("digest") if digest is sha256 else sha256(F.col("text"))).alias("text_sha256"),

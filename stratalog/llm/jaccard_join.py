@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, components, in_bitmap, key_bitmap, shingle_set, text_rows, written
+from .common import batches, components, in_bitmap, key_bitmap, lean, shingle_set, text_rows, written
 
 SHINGLE, PERCENT = 5, 75
 #: Coordinates of a point, entries of a node, and the most classes and shingles of a chunk.
@@ -58,6 +58,7 @@ def _sets(rows: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarr
             yield doc, shingle_set(text.as_buffer().to_pybytes().lower(), SHINGLE)
 
 
+@lean
 def _classes(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text_key, n, c, c2) of (doc_id, text, text_key): set size and class key."""
     for b in rows:
@@ -67,6 +68,7 @@ def _classes(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batches({"doc_id": (b.column(0), pa.int64()), "text_key": (b.column(2), pa.int64()), "n": (n, pa.int64())} | {k: ([x[i] for x in keys], pa.int64()) for i, k in enumerate(("c", "c2"))})
 
 
+@lean
 def _prefixes(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, c) of each class that is new in this task: its first n - t + l shingles."""
     seen, tokens, keys, size = set(), [], [], 0
@@ -89,6 +91,7 @@ def _prefixes(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+@lean
 def _tokens(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, c) of whole sets."""
     for b in rows:
@@ -210,6 +213,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
     keep = spark.sparkContext.broadcast(key_bitmap(may, "c"))
 
+    @lean
     def survivors(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for b in it:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, in_bitmap, key_bitmap, written
+from .common import batches, in_bitmap, key_bitmap, lean, written
 
 #: Leading tokens on the way to a leaf, share of agreeing positions, and the least
 #: different texts and tokens of a template that is dropped.
@@ -94,6 +94,7 @@ def grown(lines: list[list[str]], alike: float = ALIKE) -> tuple[list[int], list
     return out, [[names[w] for w in row] for row in stack[:count].tolist()]
 
 
+@lean
 def _leaves(rows: Iterable[pa.RecordBatch], least_tokens: int, least_texts: int) -> Iterator[pa.RecordBatch]:
     """(leaf, least, t): each leaf that a text reaches, once, and the least texts of its templates."""
     for b in rows:
@@ -106,6 +107,7 @@ def _leaves(rows: Iterable[pa.RecordBatch], least_tokens: int, least_texts: int)
         yield batches({"leaf": (leaf, pa.int64()), "least": (least, pa.int64()), "t": (of, pa.int64())})
 
 
+@lean
 def _lines(rows: Iterable[pa.RecordBatch], wanted: np.ndarray, least_tokens: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, t, at, leaf, line, words) of the lines in wanted leaves."""
     for b in rows:

@@ -19,7 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import batches, text_rows
+from .common import batches, lean, text_rows
 
 # The base patterns and the least lengths that count.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -84,11 +84,10 @@ def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         first = bisect_left(ends, run.start() - AROUND)
         if first == len(words) or words[first][0] > run.end() + AROUND:
             continue
-        cuts = [run.start()]
-        for s, e in words[bisect_left(ends, run.start() + 1) :]:
-            if s >= run.end():
-                break
-            cuts += [s, e]
+        cuts, at = [run.start()], bisect_left(ends, run.start() + 1)
+        while at < len(words) and words[at][0] < run.end():
+            cuts += words[at]
+            at += 1
         cuts.append(run.end())
         parts = [m.span() for a, b in zip(cuts[::2], cuts[1::2], strict=True) if a < b for m in _KEYLIKE.finditer(text, a, b)]
         for start, end in parts or [run.span()]:
@@ -113,6 +112,7 @@ def scan(text: str) -> dict:
     return counts | {"base_sha256": hashlib.sha256(render(base).encode()).hexdigest(), "spans": render(every)}
 
 
+@lean
 def _scan_rows(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in rows:
         found = [scan(t) for t in b.column(1).to_pylist()]

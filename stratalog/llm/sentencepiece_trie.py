@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared, text_rows
+from .common import lean, shared, text_rows
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -174,6 +174,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     rows = text_rows(docs)
     get = shared(docs.sparkSession, _load(model))
 
+    @lean
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = get()
         for b in it:
@@ -194,6 +195,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, text) of (doc_id, ids); null ids give a null text."""
     get = shared(encoded.sparkSession, _load(model))
 
+    @lean
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts = [None if x is None else get().decode(x) for x in b.column(1).to_pylist()]

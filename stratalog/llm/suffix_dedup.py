@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BASE_INVERSE, _BYTE, batches, in_bitmap, kept_powers, key_bitmap, mixed, only_in_bitmap, text_rows, written
+from .common import _BASE, _BASE_INVERSE, _BYTE, batches, in_bitmap, kept_powers, key_bitmap, lean, mixed, only_in_bitmap, text_rows, written
 
 LENGTH, GRAM = 50, 20
 WINDOWS = LENGTH - GRAM + 1
@@ -170,6 +170,7 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate(([0], cut, [len(starts)])))
 
 
+@lean
 def _emit(rows: Iterable[pa.RecordBatch], reps: np.ndarray, files: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Without files: (h, doc_id) of all segments. With: (h, s, doc_id, t, lo, n) of those
     whose file may be shared. Texts that the task has read with a smaller id are left out."""
@@ -204,6 +205,7 @@ def _emit(rows: Iterable[pa.RecordBatch], reps: np.ndarray, files: np.ndarray |
         yield out()
 
 
+@lean
 def _match(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (h, s, doc_id) -> segments whose content is in a smaller document
     (whole), and of a file with several contents those of each content's smallest document
@@ -235,6 +237,7 @@ def _match(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = [c[keep[:1] if sent else keep] for c in cols]
 
 
+@lean
 def _cut_segments(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket key, doc_id, t, lo, part) of the asked segments of each text; those of hot
     files window by window, filed by the hash of the window."""
@@ -261,6 +264,7 @@ def _array_repeats(group: pa.Table) -> pa.Table:
     return pa.table([pa.array([o[k] for o in out], pa.int64()) for k in range(4)], names=["doc_id", "t", "lo", "n"])
 
 
+@lean
 def _cut(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in rows:
         digest, removed, spans, sha = [], [], [], []

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, empty_text, in_bitmap, key_bitmap, only_in_bitmap, text_pieces, text_rows, written
+from .common import batches, empty_text, in_bitmap, key_bitmap, lean, only_in_bitmap, text_pieces, text_rows, written
 
 DISCOUNT = 0.75
 MARGIN = 0.8
@@ -76,11 +76,12 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 # Words
 
 
+@lean
 def _count_words(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, c0 .. c3) of (text, kind): how often the rows of each of four kinds hold a word."""
     for b in rows:
         kind, words, keys, counts = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64), {}, [], []
-        for p in text_pieces(b.column(0).to_pylist(), letters):
+        for p in text_pieces(b.column(0), letters):
             key, at, back = np.unique(p.hashes, return_index=True, return_inverse=True)
             of = np.repeat(kind[p.number : p.number + len(p.first) - 1], np.diff(p.first))
             keys.append(key)
@@ -95,12 +96,13 @@ def _count_words(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batches({"word": ([words[k] for k in key.tolist()], pa.binary())} | {f"c{c}": (total[:, c], pa.int64()) for c in range(4)})
 
 
+@lean
 def _distinct_words(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word) of (text): each word at least once."""
     sent: set[int] = set()
     for b in rows:
         words = []
-        for p in text_pieces(b.column(0).to_pylist(), letters):
+        for p in text_pieces(b.column(0), letters):
             key, at = np.unique(p.hashes, return_index=True)
             for k, s, e in zip(key.tolist(), p.start[at].tolist(), p.end[at].tolist(), strict=True):
                 if k not in sent:
@@ -111,6 +113,7 @@ def _distinct_words(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sent.clear()
 
 
+@lean
 def _count_grams(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, c0, c1) of (word, c0, c1)."""
     for b in rows:
@@ -190,6 +193,7 @@ def train_ratios(words: DataFrame) -> DataFrame:
     got = four.groupBy(F.expr("key & 16777215L").alias("key")).agg(F.count("*").alias("c")).orderBy("key").toArrow()
     sent = grams.sparkSession.sparkContext.broadcast(LowOrders.of(got["key"].to_numpy(), got["c"].to_numpy()))
 
+    @lean
     def ratios(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -242,6 +246,7 @@ def evidence(words: DataFrame, ratios: DataFrame) -> DataFrame:
         order = np.argsort(got["key"].to_numpy())
         sent = spark.sparkContext.broadcast((got["key"].to_numpy()[order], got["ratio"].to_numpy()[order]))
 
+        @lean
         def sums(rows: Iterable[pa.RecordBatch], sent=sent, block=block) -> Iterator[pa.RecordBatch]:
             for b in rows:
                 for i in range(0, b.num_rows, GRAM_WORDS):
@@ -263,17 +268,19 @@ def raw_scores(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(doc_id, t, raw) of (doc_id, t, text) rows, t being a key of the text."""
     lexicon = written(lexicon, "toxic-words")
 
+    @lean
     def hashed(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield batches({"h": (np.concatenate([p.hashes for p in text_pieces(b.column(0).to_pylist(), bytes)] or [np.zeros(0, np.uint64)]).view(np.int64), pa.int64())})
+            yield batches({"h": (np.concatenate([p.hashes for p in text_pieces(b.column(0), bytes)] or [np.zeros(0, np.uint64)]).view(np.int64), pa.int64())})
 
     sent = rows.sparkSession.sparkContext.broadcast(key_bitmap(lexicon.select("word").mapInArrow(hashed, "h long"), "h"))
 
+    @lean
     def hits(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row with its number of words, then a row for each word that may count."""
         for b in it:
             ids, keys = b.column(0), b.column(1)
-            for p in text_pieces(b.column(2).to_pylist(), letters):
+            for p in text_pieces(b.column(2), letters):
                 here = pa.array(np.arange(p.number, p.number + len(p.first) - 1))
                 n = np.diff(p.first)
                 may = np.flatnonzero(in_bitmap(sent.value, p.hashes.view(np.int64)))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, components, written
+from .common import batches, components, lean, written
 
 
 class Rule(NamedTuple):
@@ -96,6 +96,7 @@ def resolved(base: str, target: str) -> str | None:
     return f"{scheme}//{host}/{'/'.join(kept)}{after or ''}{rest}"
 
 
+@lean
 def _resolved(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in rows:
         src, dst = (c.to_pylist() for c in b.columns)

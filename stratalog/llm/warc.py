@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, scratch_path, written
+from .common import batches, lean, looked_up, scratch_path, written
 
 # Fixed values of the seekable format.
 SKIPPABLE_SEEK, SKIPPABLE_INDEX, SEEK_MAGIC = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
@@ -159,13 +159,14 @@ class BundleReader:
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Add refers_to and revisit. Of rows with equal payloads of at least least_bytes, the
     smallest page_id is the response; smaller payloads are all responses. The smallest id
-    of each payload comes from an aggregation with map-side combining; the join back is
-    one that Spark may split where a payload is very common."""
+    of each payload comes from an aggregation with map-side combining; only payloads held
+    more than once are joined back, and the pages of a very common one are dealt out."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("content", F.unhex(F.sha2("payload", 256)))
-    first = rows.groupBy("content").agg(F.min("page_id").alias("first"))
-    revisit = (F.length("payload") >= least_bytes) & ~F.expr("page_id <=> first")
-    return rows.join(first, "content").select("page_id", "url", "payload", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    first = rows.select("page_id", "content").groupBy("content").agg(F.min("page_id").alias("first"), F.count("*").alias("rows"))
+    revisit = (F.length("payload") >= least_bytes) & F.col("rows").isNotNull() & ~F.expr("page_id <=> first")
+    found = looked_up(rows, first.where("rows > 1"), "content", "page_id")
+    return found.select("page_id", "url", "payload", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
 
 def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -175,6 +176,7 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTE
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
 
+    @lean
     def write(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = file = bundle = None
 
@@ -204,6 +206,7 @@ def read_bundles(manifest: DataFrame) -> DataFrame:
     record of the archives that the manifest names."""
     out = {"record_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "url": pa.string()}
 
+    @lean
     def read(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for path in b.column(0).to_pylist():

@@ -1,11 +1,13 @@
 import hashlib
 import random
+import re
 import string
+import time
 
 from brute import secrets
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from stratalog.llm.secret_scan import base_spans, novelty, render, scan, secret_scan
+from stratalog.llm.secret_scan import AROUND, SENSITIVE, base_spans, is_novel, novel_spans, novelty, render, scan, secret_scan
 
 KEY = "q7Zp0Xv93LkTbR1mWc8Yd2Hs"
 
@@ -55,3 +57,39 @@ def test_keys_of_any_alphabet_on_either_side():
                     assert scan(text)["n_novel"] + scan(text)["n_hex"] >= 1, (text, letters)
     for text in ("token " + "=" * 40, "token " + "-=" * 5_000, "token " + string.ascii_letters * 5_000, "secret 1111111111111111"):
         assert scan(text)["n_novel"] == 0, text[:40]
+
+
+def test_very_long_texts_take_time_in_proportion():
+    began = time.process_time()
+    scan("token of mine " * 200_000)
+    scan("token" * 20_000 + " " + "secret_" * 100_000)
+    assert time.process_time() - began < 60
+
+
+def novel_plainly(text):
+    """Every run of key-like characters against every sensitive word and base span."""
+    base, words, out = base_spans(text), [m.span() for w in SENSITIVE for m in re.finditer(w, text, re.IGNORECASE | re.ASCII)], []
+    for run in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+        if not any(s <= run.end() + AROUND and e >= run.start() - AROUND for s, e in words):
+            continue
+        inside = sorted(w for w in words if w[0] < run.end() and w[1] > run.start())
+        cuts = [run.start(), *(x for w in inside for x in w), run.end()]
+        parts = [m.span() for a, b in zip(cuts[::2], cuts[1::2], strict=True) if a < b for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text[:b]) if m.start() >= a] if not inside else [
+            (a + m.start(), a + m.end()) for a, b in zip(cuts[::2], cuts[1::2], strict=True) if a < b for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text[a:b])
+        ]
+        for s, e in parts or [run.span()]:
+            if not any(x < e and y > s for x, y, _ in base) and is_novel(text[s:e], text[max(0, s - AROUND) : s] + " " + text[e : e + AROUND]):
+                out.append((s, e, "novel"))
+    return out
+
+
+def test_novel_spans_against_a_plain_version(table):
+    rng = random.Random(3)
+    key = lambda: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.randrange(10, 60)))
+    texts = [r.text for r in table("documents").collect()]
+    texts += [" ".join(rng.choice(["a word", "token", "my-secret-is", f"x{key()}", key(), f"password={key()}", "q " * rng.randrange(300), f"{key()}token{key()}"]) for _ in range(40)) for _ in range(60)]
+    found = 0
+    for t in texts:
+        assert novel_spans(t, base_spans(t)) == novel_plainly(t)
+        found += len(novel_plainly(t))
+    assert found > 50
