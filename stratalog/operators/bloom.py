@@ -32,6 +32,11 @@ def probe(keys: DataFrame, file_keys: DataFrame, fpp: float = BLOOM_FPP) -> Data
     return keys.select("file_id", "key").distinct().join(out, ["file_id", "key"], "left").select("file_id", "key", F.coalesce("might_contain", F.lit(True)).alias("might_contain"))
 
 
+def memory_bytes(size: DataFrame) -> DataFrame:
+    """What each filter takes: its bits in whole words of 64."""
+    return size.withColumn("memory_bytes", F.expr("(bits + 63) div 64 * 8"))
+
+
 def false_positive_rate(size: DataFrame) -> DataFrame:
     """The rate to expect at the present number of keys."""
     return size.withColumn("fpp", F.pow(1 - F.exp(-F.col("hashes") * F.col("keys") / F.col("bits")), F.col("hashes")))

@@ -43,20 +43,43 @@ def covers(key_token: str = "token", key: str = "key") -> Column:
     return F.col("min_key").isNull() | F.col("max_key").isNull() | ((at >= low) & (at <= high))
 
 
+#: Bits of a token that name its bin.
+BIN_BITS = 10
+
+
+def bin_of(token: str = "token", bits: int = BIN_BITS) -> Column:
+    return F.shiftright(F.col(token), 64 - bits).cast("int")
+
+
+def binned(catalog: DataFrame, bits: int = BIN_BITS) -> DataFrame:
+    """A row for each file and bin that its range touches (all bins where it has no
+    bounds), with the first such bin. From level 1 up ranges are disjoint, so a level adds
+    a row per file and bin; only the few files of level 0 are wide. Give more bits to
+    catalogs of many more files than bins."""
+    open_, last = F.col("min_token").isNull() | F.col("max_token").isNull(), 1 << (bits - 1)
+    first = F.when(open_, -last).otherwise(bin_of("min_token", bits))
+    end = F.when(open_, last - 1).otherwise(bin_of("max_token", bits))
+    return catalog.withColumn("first_bin", first).withColumn("bin", F.explode(F.sequence(F.col("first_bin"), F.greatest("first_bin", end))))
+
+
 def candidates(keys: DataFrame, catalog: DataFrame) -> DataFrame:
-    """keys(token, key) with every file whose range holds them. The catalog (a row per
-    file, not per cell) is the side that Spark may broadcast by its size."""
-    return keys.join(catalog, covers())
+    """keys(token, key) with every file whose range holds them: an equi-join by bin, then
+    the ranges. The catalog (a row per file, not per cell) is the side that Spark may
+    broadcast by its size."""
+    files = binned(catalog).drop("first_bin").withColumnRenamed("bin", "_bin")
+    return keys.join(files, (bin_of() == F.col("_bin")) & covers()).drop("_bin")
 
 
 def overlaps(catalog: DataFrame) -> DataFrame:
-    """Pairs of files with overlapping closed ranges."""
-    a = catalog.select("file_id", "level", *BOUNDS)
-    b = catalog.select(*[F.col(c).alias("b_" + c) for c in ("file_id", "level", *BOUNDS)])
+    """Pairs of files with overlapping closed ranges, from an equi-join by bin; a pair is
+    reported in the first bin that both touch."""
+    a = binned(catalog.select("file_id", "level", *BOUNDS))
+    b = a.select(*[F.col(c).alias("b_" + c) for c in a.columns])
+    meet = (F.col("bin") == F.col("b_bin")) & (F.col("bin") == F.greatest("first_bin", "b_first_bin"))
     low_high = F.struct("min_token", "min_key") <= F.struct("b_max_token", "b_max_key")
     high_low = F.struct("b_min_token", "b_min_key") <= F.struct("max_token", "max_key")
     open_ = F.col("min_key").isNull() | F.col("max_key").isNull() | F.col("b_min_key").isNull() | F.col("b_max_key").isNull()
-    return a.join(b, (F.col("file_id") < F.col("b_file_id")) & (open_ | (low_high & high_low))).select("file_id", "level", F.col("b_file_id").alias("other_id"), F.col("b_level").alias("other_level"))
+    return a.join(b, meet & (F.col("file_id") < F.col("b_file_id")) & (open_ | (low_high & high_low))).select("file_id", "level", F.col("b_file_id").alias("other_id"), F.col("b_level").alias("other_level"))
 
 
 def level_conflicts(catalog: DataFrame) -> DataFrame:
@@ -75,3 +98,14 @@ def max_log_position(positions: DataFrame) -> DataFrame:
     """The newest (segment_id, position)."""
     top = positions.agg(F.max(F.struct("segment_id", "position")).alias("p"))
     return top.select("p.segment_id", "p.position")
+
+
+def min_log_position(positions: DataFrame) -> DataFrame:
+    """The oldest (segment_id, position)."""
+    low = positions.agg(F.min(F.struct("segment_id", "position")).alias("p"))
+    return low.select("p.segment_id", "p.position")
+
+
+def with_age(catalog: DataFrame, now_ms: int) -> DataFrame:
+    """Add the whole seconds since each file was made."""
+    return catalog.withColumn("age_seconds", F.expr(f"({now_ms}L - created_at_ms) div 1000"))

@@ -53,12 +53,12 @@ def summary(index: DataFrame, sample: int = SUMMARY_SAMPLE) -> DataFrame:
     return with_index_offsets(index).where(F.col("entry") % sample == 0).select("file_id", "token", "key", "index_offset")
 
 
-def floor(keys: DataFrame, entries: DataFrame, value: str, else_first: bool = False) -> DataFrame:
-    """For each (key, file) the value of the last entry not after the key, as an as-of
-    lookup by a window over keys and entries together; with else_first, keys before every
-    entry get the first one. One shuffle by file, no pairs of keys and entries."""
-    files = entries.select("file_id").distinct()
-    ask = keys.select("token", "key").distinct().join(files).select("file_id", "token", "key", F.lit(1).alias("_ask"), F.lit(None).cast("long").alias("_v"))
+def floor(asked: DataFrame, entries: DataFrame, value: str, else_first: bool = False) -> DataFrame:
+    """For each row of asked(file_id, token, key) (the files whose range holds a key) the
+    value of the last entry not after the key, as an as-of lookup by a window over keys
+    and entries of a file together; with else_first, keys before every entry get the first
+    one. One shuffle by file, no pairs of keys and entries."""
+    ask = asked.select("file_id", "token", "key").distinct().withColumns({"_ask": F.lit(1), "_v": F.lit(None).cast("long")})
     both = ask.unionByName(entries.select("file_id", "token", "key", F.lit(0).alias("_ask"), F.col(value).cast("long").alias("_v")))
     run = Window.partitionBy("file_id").orderBy("token", "key", "_ask").rowsBetween(Window.unboundedPreceding, 0)
     found = F.last("_v", ignorenulls=True).over(run)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .catalog import candidates
+from .catalog import bin_of, candidates
 from .reconcile import memtable_merge
 
 MEM, FLUSHING, FILES = 0, 1, 2
@@ -88,6 +88,17 @@ def multi_get(keys: DataFrame, cells: DataFrame) -> DataFrame:
     return cells.join(keys.select("key").distinct(), "key", "left_semi")
 
 
+def token_places(keys: DataFrame, bits: int = 16) -> DataFrame:
+    """keys(token, key) with their place in token order: sorted inside the bins of tokens,
+    each bin placed after the counts of those before it (65,536 counts at most)."""
+    binned_ = keys.withColumn("_bin", bin_of(bits=bits))
+    sizes = binned_.groupBy("_bin").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_bin", F.coalesce(before, F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_bin").orderBy("token", "key"))
+    return binned_.withColumn("_nth", nth).join(starts, "_bin").withColumn("place", F.col("_nth") + F.col("_before")).drop("_bin", "_nth", "_before")
+
+
 def token_range(cells: DataFrame, low: int, high: int) -> DataFrame:
     """Cells with tokens in a range, both ends included."""
     return cells.where(F.col("token").between(low, high))

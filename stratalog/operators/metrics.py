@@ -18,6 +18,22 @@ def flush_due(mutations: DataFrame, limit: int = MEMTABLE_BYTES, by: str = "gene
     return memtable_size(mutations, by).withColumn("due", F.col("estimated_bytes") >= limit)
 
 
+def tier_share(amplification: DataFrame) -> DataFrame:
+    """One row: what share of the reads memory and files answered and none did, in whole
+    percent, halves up."""
+    total = F.greatest("reads", F.lit(1))
+    misses = F.col("reads") - F.col("mem_hits") - F.col("sst_hits")
+    share = lambda n: F.floor(n * 100 / total + 0.5).cast("long")
+    return amplification.select(share(F.col("mem_hits")).alias("memory_percent"), share(F.col("sst_hits")).alias("files_percent"), share(misses).alias("miss_percent"))
+
+
+def log_metrics(rolled: DataFrame, mutations: DataFrame) -> DataFrame:
+    """One row: appends, their estimated bytes, and rolls of all writers' logs."""
+    rolls = rolled.groupBy("writer").agg(F.max("segment").alias("rolls")).agg(F.coalesce(F.sum("rolls"), F.lit(0)).alias("rolls"))
+    writes = mutations.agg(F.count("*").alias("writes"), F.coalesce(F.sum(memory_bytes()), F.lit(0)).alias("estimated_bytes"))
+    return writes.join(rolls)  # two single rows
+
+
 def engine_stats(mutations: DataFrame, catalog: DataFrame, amplification: DataFrame) -> DataFrame:
     """One row of writes, flushes, files, reads and the share of reads that hit."""
     writes = mutations.agg(F.count("*").alias("writes"), F.countDistinct("segment_id").alias("log_segments"), F.countDistinct("generation").alias("memtables"))

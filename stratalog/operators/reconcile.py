@@ -1,7 +1,8 @@
 """Last-write-wins in its variants.
 
 Within a memory table the later arrival wins a tie of timestamps; in a compaction the
-earlier input. Both are one hash aggregation with map-side combining.
+earlier input. Both are one aggregation with map-side combining (by sorting, as a cell holds
+a string) and no window.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells as c
+from .catalog import bin_of, binned
 
 CELL = ("value", "ts", "flags", "ttl", "seq")
 
@@ -37,11 +39,14 @@ def purge(cells: DataFrame, now: int, grace_seconds: int = 0) -> DataFrame:
 
 def purge_safe(cells: DataFrame, outside: DataFrame, now: int, grace_seconds: int = 0) -> DataFrame:
     """As purge, but a tombstone stays while a file outside the plan (min_token, max_token)
-    may hold its key: deleted data can't come back."""
-    older = cells.join(outside.select("min_token", "max_token"), F.col("token").between(F.col("min_token"), F.col("max_token")), "left_semi").select("key").distinct()
-    marked = cells.join(older.withColumn("held", F.lit(True)), "key", "left")
-    drop = c.is_expired(now) | (c.is_purgeable(now, grace_seconds) & F.col("held").isNull())
-    return marked.where(~drop).drop("held")
+    may hold its key: deleted data can't come back. Only the tokens of purgeable tombstones
+    are looked for, by bin."""
+    gone = c.is_purgeable(now, grace_seconds)
+    ranges = binned(outside.select("min_token", "max_token")).withColumnRenamed("bin", "_bin")
+    inside = F.col("min_token").isNull() | F.col("max_token").isNull() | F.col("token").between(F.col("min_token"), F.col("max_token"))
+    held = cells.where(gone).select("token").distinct().join(ranges, (bin_of() == F.col("_bin")) & inside, "left_semi")
+    kept = cells.where(~c.is_expired(now))
+    return kept.where(~gone).unionByName(kept.where(gone).join(held, "token", "left_semi").select(*cells.columns))
 
 
 def purged(before: DataFrame, now: int, grace_seconds: int = 0) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .functions.tokens import C1, C2, MIX_1, MIX_2, SEED_1, SEED_2
-from .queries import GRACE, HIGH_TOKEN, LOW_TOKEN, NOW
+from .functions.tokens import ADD_1, ADD_2, C1, C2, MIX_1, MIX_2, SEED_1, SEED_2
+from .queries import GRACE, HIGH_TOKEN, LOW_TOKEN, NOW, OVER
 
 _M = "18446744073709551615::UHUGEINT"
 _W = "18446744073709551616::UHUGEINT"
@@ -25,15 +25,23 @@ def _add(*xs: str) -> str:
     return f"(({' + '.join(xs)}) % {_W})"
 
 
-def _tokens(source: str) -> str:
-    """CTEs that end in tokens(key, token, h) for keys of up to 15 bytes; h is unsigned."""
+def _tokens(source: str, block: bool = False) -> str:
+    """CTEs that end in tokens(key, token, h) for keys of up to 15 bytes, or with a block
+    before them; h is unsigned."""
     pairs = lambda at: " || ".join(f"substr(x, {at + 2 * i}, 2)" for i in range(7, -1, -1))
-    s = f"""
-t0 AS (SELECT key, rpad(hex(encode(key)), 32, '0') AS x, CAST(octet_length(encode(key)) AS UHUGEINT) AS n FROM (SELECT DISTINCT key FROM {source})),
-t1 AS (SELECT key, n, CAST('0x' || {pairs(1)} AS UHUGEINT) AS a, CAST('0x' || {pairs(17)} AS UHUGEINT) AS b FROM t0),
-t2 AS (SELECT key, n, {_mul('a', C1)} AS a, {_mul('b', C2)} AS b FROM t1),
-t3 AS (SELECT key, n, {_rot('a', 31)} AS a, {_rot('b', 33)} AS b FROM t2),
-t4 AS (SELECT key, xor(xor({_u(SEED_1)}, {_mul('a', C2)}), n) AS a, xor(xor({_u(SEED_2)}, {_mul('b', C1)}), n) AS b FROM t3),
+    first = f"SELECT key, hex(encode(key)) AS x, CAST(octet_length(encode(key)) AS UHUGEINT) AS n, {_u(SEED_1)} AS p, {_u(SEED_2)} AS q FROM (SELECT DISTINCT key FROM {source})"
+    s = f"\nb0 AS ({first}),"
+    if block:
+        spin = lambda at, one, turn, two: _mul(_rot(_mul(f"CAST('0x' || {pairs(at)} AS UHUGEINT)", one), turn), two)
+        s += f"\nb1 AS (SELECT key, x, n, xor(p, {spin(1, C1, 31, C2)}) AS p, xor(q, {spin(17, C2, 33, C1)}) AS q FROM b0),"
+        s += f"\nb2 AS (SELECT key, x, n, {_add(_mul(_add(_rot('p', 27), _u(SEED_2)), 5), _u(ADD_1))} AS p, q FROM b1),"
+        s += f"\nb0x AS (SELECT key, substr(x, 33) AS x, n, p, {_add(_mul(_add(_rot('q', 31), 'p'), 5), _u(ADD_2))} AS q FROM b2),"
+    s += f"""
+t0 AS (SELECT key, rpad(x, 32, '0') AS x, n, p, q FROM {"b0x" if block else "b0"}),
+t1 AS (SELECT key, n, p, q, CAST('0x' || {pairs(1)} AS UHUGEINT) AS a, CAST('0x' || {pairs(17)} AS UHUGEINT) AS b FROM t0),
+t2 AS (SELECT key, n, p, q, {_mul('a', C1)} AS a, {_mul('b', C2)} AS b FROM t1),
+t3 AS (SELECT key, n, p, q, {_rot('a', 31)} AS a, {_rot('b', 33)} AS b FROM t2),
+t4 AS (SELECT key, xor(xor(p, {_mul('a', C2)}), n) AS a, xor(xor(q, {_mul('b', C1)}), n) AS b FROM t3),
 t5 AS (SELECT key, {_add('a', 'b')} AS a, {_add('a', 'b', 'b')} AS b FROM t4),"""
     k = 5
     for factor in (MIX_1, MIX_2, None):
@@ -162,6 +170,19 @@ reached AS (SELECT file_id, min_token, min_key, max_token, max_key, 0 AS kind, c
               ON row(c.min_token, c.min_key) <= row(r.max_token, r.max_key) AND row(r.min_token, r.min_key) <= row(c.max_token, c.max_key) WHERE c.level = 1),
 plan AS (SELECT file_id, row_number() OVER (ORDER BY kind, catalog_pos) - 1 AS input_pos, 1 AS output_level, 'level 0 is full' AS reason FROM reached)"""
 
+# With three files of level 0, the level from 1 up that is most over its target (the lower
+# of equals) gives its largest file, and what that overlaps one level down follows.
+_LCS_OVER = f"""
+larger AS (SELECT * REPLACE (data_size_bytes * {OVER} AS data_size_bytes) FROM catalog WHERE level > 0 OR file_id >= 12),
+scores AS (SELECT level, sum(data_size_bytes) / (131072 * pow(10, level - 1)) AS score FROM larger WHERE level > 0 GROUP BY level),
+top AS (SELECT level FROM scores WHERE score > 1 AND (SELECT count(*) FROM larger WHERE level = 0) < 4 ORDER BY score DESC, level LIMIT 1),
+seed AS (SELECT * FROM larger WHERE level = (SELECT level FROM top) ORDER BY data_size_bytes DESC, catalog_pos LIMIT 1),
+reached AS (SELECT file_id, level, min_token, min_key, max_token, max_key, 0 AS kind, catalog_pos FROM seed
+            UNION
+            SELECT c.file_id, c.level, c.min_token, c.min_key, c.max_token, c.max_key, 1, c.catalog_pos FROM larger c JOIN reached r
+              ON row(c.min_token, c.min_key) <= row(r.max_token, r.max_key) AND row(r.min_token, r.min_key) <= row(c.max_token, c.max_key) WHERE c.level = (SELECT level + 1 FROM top)),
+plan AS (SELECT file_id, row_number() OVER (ORDER BY kind, catalog_pos) - 1 AS input_pos, (SELECT level + 1 FROM top) AS output_level, 'level ' || (SELECT level FROM top) || ' is over its target' AS reason FROM reached)"""
+
 _OUTPUT = f"""
 input_cells AS (SELECT f.*, p.input_pos, p.output_level FROM files f JOIN plan p USING (file_id)),
 output AS (SELECT key, token, output_level AS level, name, value, ts, flags, ttl, seq FROM {_latest('input_cells', 'key, name', 'ts DESC, input_pos')}
@@ -176,6 +197,11 @@ _AMPLIFIED = "SELECT *, bytes_read - bytes_written AS bytes_reclaimed, round((by
 _OFFSETS = f"""
 framed AS (SELECT *, {_FRAME} + octet_length(encode(key)) + 4 + 8 AS frame FROM mutations),
 placed_log AS (SELECT *, (coalesce(sum(frame) OVER (PARTITION BY segment_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 32)::BIGINT AS offset_ FROM framed)"""
+_ROLL = """
+numbered AS (SELECT segment_id AS writer, seq, frame, row_number() OVER (PARTITION BY segment_id ORDER BY seq) AS n FROM framed),
+roll AS (SELECT writer, seq, n, 0::BIGINT AS segment, 32 + frame AS total FROM numbered WHERE n = 1
+         UNION ALL SELECT x.writer, x.seq, x.n, r.segment + CASE WHEN r.total >= 8192 THEN 1 ELSE 0 END, CASE WHEN r.total >= 8192 THEN 32 ELSE r.total END + x.frame
+         FROM roll r JOIN numbered x ON x.writer = r.writer AND x.n = r.n + 1)"""
 _REPLAY = "replayed AS (SELECT * FROM mutations m WHERE NOT EXISTS (SELECT 1 FROM mutations b WHERE b.segment_id = m.segment_id AND b.bad_crc AND b.seq <= m.seq))"
 _READS = """
 amp AS (SELECT (SELECT count(*) FROM asked) AS reads, (SELECT count(*) FROM asked a WHERE EXISTS (SELECT 1 FROM memory m WHERE m.key = a.key)) AS mem_hits,
@@ -183,6 +209,12 @@ amp AS (SELECT (SELECT count(*) FROM asked) AS reads, (SELECT count(*) FROM aske
 _MEMORY_BYTES = "octet_length(encode(key)) + 16 + 2 * length(name) + coalesce(octet_length(encode(value)), 0) + 32"
 
 
+def _tenths(unit: int) -> str:
+    """n in units to one decimal, halves up."""
+    t = f"((n * 10 + {unit // 2}) // {unit})"
+    return f"{t} // 10 || '.' || {t} % 10"
+
+
 def _with(*ctes: str) -> str:
     return "WITH RECURSIVE " + ",".join(ctes) + "\n"
 
@@ -203,16 +235,13 @@ def oracle_sql() -> dict[str, str]:
         "log_replay_prefix": _with(m, _REPLAY) + "SELECT segment_id, seq, key, name, ts FROM replayed",
         "log_replay_stats": _with(m, _REPLAY) + "SELECT (SELECT count(DISTINCT segment_id) FROM mutations) AS segments, (SELECT count(*) FROM replayed) AS rows, (SELECT count(DISTINCT segment_id) FROM mutations WHERE bad_crc) AS corruptions",
         "log_offsets": _with(m, _OFFSETS) + 'SELECT segment_id, seq, frame::BIGINT AS frame, offset_ AS "offset" FROM placed_log',
-        "segment_roll": _with(m, _OFFSETS, """
-            numbered AS (SELECT segment_id AS writer, seq, frame, row_number() OVER (PARTITION BY segment_id ORDER BY seq) AS n FROM framed),
-            roll AS (SELECT writer, seq, n, 0::BIGINT AS segment, 32 + frame AS total FROM numbered WHERE n = 1
-                     UNION ALL SELECT x.writer, x.seq, x.n, r.segment + CASE WHEN r.total >= 8192 THEN 1 ELSE 0 END, CASE WHEN r.total >= 8192 THEN 32 ELSE r.total END + x.frame
-                     FROM roll r JOIN numbered x ON x.writer = r.writer AND x.n = r.n + 1)""") + "SELECT writer, seq, segment FROM roll",
+        "segment_roll": _with(m, _OFFSETS, _ROLL) + "SELECT writer, seq, segment FROM roll",
         "last_good_position": _with(m, _OFFSETS) + """
             SELECT s.segment_id, coalesce(max(p.offset_ + p.frame), 32)::BIGINT AS position FROM (SELECT DISTINCT segment_id FROM mutations) s
             LEFT JOIN placed_log p ON p.segment_id = s.segment_id AND p.seq < coalesce((SELECT min(seq) FROM mutations b WHERE b.segment_id = s.segment_id AND b.bad_crc), 9223372036854775807) GROUP BY s.segment_id""",
         "segment_recycle": _with(m) + "SELECT DISTINCT segment_id, segment_id = 7 AS active FROM mutations WHERE segment_id > 5 OR segment_id = 7",
         "max_log_position": _with(m, _OFFSETS) + "SELECT segment_id, offset_ AS position FROM placed_log ORDER BY 1 DESC, 2 DESC LIMIT 1",
+        "min_log_position": _with(m, _OFFSETS) + "SELECT segment_id, offset_ AS position FROM placed_log ORDER BY 1, 2 LIMIT 1",
         "encoded_size": _with(m, _MERGED) + f"SELECT key, (sum({_FRAME}) + max(octet_length(encode(key))) + 4)::BIGINT AS bytes FROM merged GROUP BY key",
         "cells_from_wide": """
             SELECT 'customer:' || c_custkey AS key, name, value, 0 AS flags FROM (
@@ -244,13 +273,13 @@ def oracle_sql() -> dict[str, str]:
         "level_overlap_check": _with(v) + "SELECT DISTINCT b.level, b.file_id FROM catalog a JOIN catalog b ON a.level = b.level AND a.level >= 1 AND a.file_id <> b.file_id AND row(a.min_token, a.min_key, a.file_id) <= row(b.min_token, b.min_key, b.file_id) AND row(b.min_token, b.min_key) <= row(a.max_token, a.max_key)",
         "sparse_index": _with(v, _index(512)) + "SELECT file_id, token, key, data_offset, entry FROM idx",
         "summary_index": _with(v, _index(256), _SUMMARY) + "SELECT file_id, token, key, index_offset FROM summary",
-        "index_floor": _with(v, _index(512)) + "SELECT f.file_id, a.key, coalesce(max_by(i.data_offset, row(i.token, i.key)), -1) AS data_offset FROM asked a CROSS JOIN (SELECT DISTINCT file_id FROM idx) f LEFT JOIN idx i ON i.file_id = f.file_id AND row(i.token, i.key) <= row(a.token, a.key) GROUP BY f.file_id, a.key",
+        "index_floor": _with(v, _index(512)) + "SELECT f.file_id, a.key, coalesce(max_by(i.data_offset, row(i.token, i.key)), -1) AS data_offset FROM (SELECT a.*, c.file_id FROM asked a JOIN catalog c ON row(a.token, a.key) >= row(c.min_token, c.min_key) AND row(a.token, a.key) <= row(c.max_token, c.max_key)) a JOIN (SELECT DISTINCT file_id FROM idx) f USING (file_id) LEFT JOIN idx i ON i.file_id = f.file_id AND row(i.token, i.key) <= row(a.token, a.key) GROUP BY f.file_id, a.key",
         "summary_floor": _with(v, _index(256), _SUMMARY) + """
             SELECT f.file_id, a.key, coalesce(max_by(i.index_offset, row(i.token, i.key)), (SELECT min(index_offset) FROM summary s WHERE s.file_id = f.file_id)) AS index_offset
-            FROM asked a CROSS JOIN (SELECT DISTINCT file_id FROM summary) f LEFT JOIN summary i ON i.file_id = f.file_id AND row(i.token, i.key) <= row(a.token, a.key) GROUP BY f.file_id, a.key""",
+            FROM (SELECT a.*, c.file_id FROM asked a JOIN catalog c ON row(a.token, a.key) >= row(c.min_token, c.min_key) AND row(a.token, a.key) <= row(c.max_token, c.max_key)) a JOIN (SELECT DISTINCT file_id FROM summary) f USING (file_id) LEFT JOIN summary i ON i.file_id = f.file_id AND row(i.token, i.key) <= row(a.token, a.key) GROUP BY f.file_id, a.key""",
         "bloom_sizing": "SELECT o_orderpriority, n, bits, greatest(1, floor(bits / n * ln(2.0) + 0.5))::INT AS hashes FROM (SELECT o_orderpriority, count(*) AS n, floor(-count(*) * ln(0.01) / (ln(2.0) * ln(2.0)))::BIGINT AS bits FROM orders GROUP BY 1)",
         "bloom_build": _with(v, _positions()) + f"SELECT DISTINCT file_id, bit FROM {_bits('file_keys')}",
-        "bloom_probe": _with(v, _positions(), "\nprobes AS (SELECT a.key, c.file_id FROM asked a CROSS JOIN (SELECT file_id FROM catalog WHERE level = 0) c)", _PROBED) + "SELECT file_id, key, might_contain FROM probed",
+        "bloom_probe": _with(v, _positions(), "\nprobes AS (SELECT a.key, c.file_id FROM asked a JOIN catalog c ON c.level = 0 AND row(a.token, a.key) >= row(c.min_token, c.min_key) AND row(a.token, a.key) <= row(c.max_token, c.max_key))", _PROBED) + "SELECT file_id, key, might_contain FROM probed",
         "bloom_fpp": _with(v, _positions()) + "SELECT file_id, n AS keys, m AS bits, k AS hashes, round(pow(1 - exp(-k * n / m), k), 9) AS fpp FROM sized",
         "read_first_hit": _with(v, _places()) + """
             SELECT m.key, name, value, ts, flags, tier FROM memory m JOIN asked USING (key) WHERE tier = (SELECT min(tier) FROM memory o WHERE o.key = m.key)
@@ -288,5 +317,20 @@ def oracle_sql() -> dict[str, str]:
         "write_amplification": _with(g, _BUCKETS, _OUTPUT, _OUTPUT_STATS) + _AMPLIFIED,
         "strategy_comparison": "WITH s AS (" + _with(g, _BUCKETS, _OUTPUT, _OUTPUT_STATS) + _AMPLIFIED + "), l AS (" + _with(g, _LCS_PLAN, _OUTPUT, _OUTPUT_STATS) + _AMPLIFIED + ") "
         + " UNION ALL ".join(f"SELECT '{c}' AS metric, round(s.{c}::DOUBLE, 9) AS stcs, round(l.{c}::DOUBLE, 9) AS lcs FROM s, l" for c in ("bytes_flushed", "bytes_read", "bytes_written", "bytes_reclaimed", "amplification")),
+        "log_metrics": _with(m, _OFFSETS, _ROLL) + f"SELECT count(*) AS writes, sum({_MEMORY_BYTES})::BIGINT AS estimated_bytes, (SELECT sum(s)::BIGINT FROM (SELECT max(segment) AS s FROM roll GROUP BY writer)) AS rolls FROM mutations",
+        "file_age": _with(v) + f"SELECT file_id, trunc(({NOW // 1000} - created_at_ms) / 1000)::BIGINT AS age_seconds FROM catalog",
+        "filter_memory": _with(v, _positions()) + "SELECT file_id, m AS bits, (m + 63) // 64 * 8 AS memory_bytes FROM sized",
+        "tier_share": _with(v, _places(), _READS) + "SELECT " + ", ".join(f"floor({n} * 100.0 / greatest(1, reads) + 0.5)::BIGINT AS {c}" for n, c in (("mem_hits", "memory_percent"), ("sst_hits", "files_percent"), ("(reads - mem_hits - sst_hits)", "miss_percent"))) + " FROM amp",
+        "lcs_plan_over_target": _with(v, _LCS_OVER) + "SELECT file_id, input_pos::INT AS input_pos, output_level, reason FROM plan",
+        "key_token_long": _with("long_keys AS (SELECT DISTINCT c_name AS key FROM customer WHERE octet_length(encode(c_name)) BETWEEN 16 AND 31)", _tokens("long_keys", block=True)) + "SELECT key, token FROM tokens",
+        "abbreviations": "SELECT o_orderkey, n, " + ", ".join(
+            f"CASE WHEN n >= {m} THEN {_tenths(m)} || '{sm}' WHEN n >= {k} THEN {_tenths(k)} || '{sk}' ELSE n || '{s}' END AS {c}" for c, m, k, sm, sk, s in (("short", 1_000_000, 1_000, "M", "K", ""), ("size", 1 << 20, 1 << 10, " MB", " KB", " B"))
+        ) + " FROM (SELECT o_orderkey, floor(o_totalprice * o_orderkey / 100)::BIGINT AS n FROM orders)",
+        "query_decode": "SELECT c_custkey, c_name AS key, 'a b&c' AS x_y, 'é' AS key2, 3::BIGINT AS names FROM customer",
+        "crc32c": """
+            WITH t AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 2197175160) ELSE a >> 1 END)) AS crcs),
+            p AS (SELECT p_partkey, hex(encode(p_name)) AS x FROM part),
+            b AS (SELECT p_partkey, list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS INT), 2) AS BIGINT)) AS bytes FROM p)
+            SELECT p_partkey, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, crcs[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295)::BIGINT AS crc FROM b, t""",
         "blast_rows": "SELECT 'user:' || lpad(CAST(i AS VARCHAR), 6, '0') AS key, 'email' AS name, 'user' || i || '@example.org' AS value FROM range(2000) r(i)",
     }

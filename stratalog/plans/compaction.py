@@ -6,8 +6,10 @@ it, execution is one aggregation over the cells of the inputs.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +25,24 @@ class Strategy(Protocol):
 def stcs_buckets(catalog: DataFrame) -> DataFrame:
     """(file_id, data_size_bytes, bucket, place): by ascending size, ties by catalog
     position, a file joins the open bucket while the bucket's first (smallest) file is at
-    least half as large. A fold over the sorted catalog."""
-    files = catalog.agg(F.sort_array(F.collect_list(F.struct("data_size_bytes", "catalog_pos", "file_id"))).alias("f"))
-    folded = F.expr(f"""aggregate(f, cast(array() as array<struct<file_id:bigint,data_size_bytes:bigint,bucket:int,first:bigint,place:int>>), (a, x) -> concat(a, array(
-        if(size(a) > 0 and element_at(a, -1).first / x.data_size_bytes between {m.STCS_LOW} and {m.STCS_HIGH},
-           named_struct('file_id', cast(x.file_id as bigint), 'data_size_bytes', x.data_size_bytes, 'bucket', element_at(a, -1).bucket, 'first', element_at(a, -1).first, 'place', element_at(a, -1).place + 1),
-           named_struct('file_id', cast(x.file_id as bigint), 'data_size_bytes', x.data_size_bytes, 'bucket', if(size(a) = 0, 0, element_at(a, -1).bucket + 1), 'first', x.data_size_bytes, 'place', 0)))))""")
-    return files.select(F.explode_outer(F.when(F.size("f") > 0, folded)).alias("b")).where("b is not null").select("b.file_id", "b.data_size_bytes", "b.bucket", "b.place")
+    least half as large. A fold that starts anew at each bucket, so one task streams the
+    sorted catalog, a row per file, with the open bucket in hand."""
+
+    def fold(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, bucket, place = None, -1, 0
+        for b in rows:
+            out = []
+            for size in b.column(1).to_pylist():
+                if first is not None and size and m.STCS_LOW <= first / size <= m.STCS_HIGH:
+                    place += 1
+                else:
+                    first, bucket, place = size, bucket + 1, 0
+                out.append((bucket, place))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([o[k] for o in out], pa.int32()) for k in (0, 1))], ["file_id", "data_size_bytes", "bucket", "place"])
+
+    files = catalog.select(F.col("file_id").cast("long").alias("file_id"), F.col("data_size_bytes").cast("long").alias("data_size_bytes"), "catalog_pos")
+    ordered = files.repartition(1).sortWithinPartitions("data_size_bytes", "catalog_pos").drop("catalog_pos")
+    return ordered.mapInArrow(fold, "file_id long, data_size_bytes long, bucket int, place int")
 
 
 def stcs_select(buckets: DataFrame) -> DataFrame:

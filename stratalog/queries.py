@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cells as c
+from .functions import text
 from .functions.tokens import bloom_size_columns, with_crc32c, with_token
 from .operators import bloom, catalog, index, log, lookup, metrics, reconcile
 from .operators import cells as wide
@@ -16,6 +17,8 @@ from .sources import tables as t
 
 #: The moment at which queries judge expiry: 2024-01-15 00:00 UTC and its grace period.
 NOW, GRACE = 1_705_276_800_000_000, 86_400
+#: How many times larger files are where levels must be over their targets.
+OVER = 1_000
 #: The range that token_range_scan reads.
 LOW_TOKEN, HIGH_TOKEN = -(1 << 61), 1 << 62
 
@@ -74,8 +77,7 @@ def token_range_scan(spark, sf):
 
 @query
 def token_order(spark, sf):
-    place = F.row_number().over(Window.orderBy("token", "key"))
-    return t.keys(t.mutations(spark, sf)).select("key", "token", place.alias("place"))
+    return lookup.token_places(t.keys(t.mutations(spark, sf))).select("key", "token", "place")
 
 
 @query
@@ -121,6 +123,18 @@ def max_log_position(spark, sf):
     return catalog.max_log_position(ends)
 
 
+@query
+def min_log_position(spark, sf):
+    ends = log.offsets(t.mutations(spark, sf)).select("segment_id", F.col("offset").alias("position"))
+    return catalog.min_log_position(ends)
+
+
+@query
+def log_metrics(spark, sf):
+    m = t.mutations(spark, sf)
+    return metrics.log_metrics(log.rolled(m.withColumn("writer", F.col("segment_id")), limit=8192), m)
+
+
 @query
 def encoded_size(spark, sf):
     merged = reconcile.memtable_merge(t.mutations(spark, sf))
@@ -211,6 +225,11 @@ def catalog_rebuild(spark, sf):
     return catalog.rebuilt(listed, found)
 
 
+@query
+def file_age(spark, sf):
+    return catalog.with_age(View(spark, sf).catalog, NOW // 1000).select("file_id", "age_seconds")
+
+
 @query
 def level_summary(spark, sf):
     return catalog.level_summary(View(spark, sf).catalog)
@@ -245,7 +264,7 @@ def summary_index(spark, sf):
 @query
 def index_floor(spark, sf):
     v = View(spark, sf)
-    found = index.floor(v.asked, index.sparse_index(catalog.partitions(v.files), 512), "data_offset")
+    found = index.floor(catalog.candidates(v.asked, v.catalog), index.sparse_index(catalog.partitions(v.files), 512), "data_offset")
     return found.withColumn("data_offset", F.coalesce("data_offset", F.lit(-1)))  # -1: before every entry
 
 
@@ -253,7 +272,7 @@ def index_floor(spark, sf):
 def summary_floor(spark, sf):
     v = View(spark, sf)
     entries = index.summary(index.sparse_index(catalog.partitions(v.files), 256), 4)
-    return index.floor(v.asked, entries, "index_offset", else_first=True)
+    return index.floor(catalog.candidates(v.asked, v.catalog), entries, "index_offset", else_first=True)
 
 
 @query
@@ -274,8 +293,8 @@ def bloom_build(spark, sf):
 @query
 def bloom_probe(spark, sf):
     v = View(spark, sf)
-    asked = v.asked.join(v.catalog.where("level = 0").select("file_id"))  # every key against the four newest files
-    return bloom.probe(asked, _file_keys(v))
+    asked = catalog.candidates(v.asked, v.catalog.where("level = 0"))
+    return bloom.probe(asked.select("file_id", "token", "key"), _file_keys(v))
 
 
 @query
@@ -284,6 +303,11 @@ def bloom_fpp(spark, sf):
     return rate.select("file_id", "keys", "bits", "hashes", F.round("fpp", 9).alias("fpp"))
 
 
+@query
+def filter_memory(spark, sf):
+    return bloom.memory_bytes(bloom.sizes(_file_keys(View(spark, sf)))).select("file_id", "bits", "memory_bytes")
+
+
 @query
 def read_first_hit(spark, sf):
     v = View(spark, sf)
@@ -323,6 +347,11 @@ def read_amplification(spark, sf):
     return _amplification(View(spark, sf)).withColumn("scans_per_read", F.round("scans_per_read", 9))
 
 
+@query
+def tier_share(spark, sf):
+    return metrics.tier_share(_amplification(View(spark, sf)))
+
+
 @query
 def memtable_size(spark, sf):
     return metrics.memtable_size(t.mutations(spark, sf))
@@ -394,6 +423,13 @@ def lcs_plan(spark, sf):
     return plan.Leveled().plan(View(spark, sf).catalog)
 
 
+@query
+def lcs_plan_over_target(spark, sf):
+    """Level 0 is not full, and levels 1 and 2 hold more than their targets."""
+    cat = View(spark, sf).catalog.where("level > 0 or file_id >= 12")
+    return plan.Leveled().plan(cat.withColumn("data_size_bytes", F.col("data_size_bytes") * OVER))
+
+
 @query
 def lcs_compact(spark, sf):
     v = View(spark, sf)
@@ -437,6 +473,26 @@ def crc32c(spark, sf):
     return with_crc32c(names, "data").select("p_partkey", "crc")
 
 
+@query
+def key_token_long(spark, sf):
+    """Keys of 16 to 31 bytes: a block and a tail."""
+    return with_token(t.table(spark, sf, "customer").select(F.col("c_name").alias("key")).where("octet_length(key) between 16 and 31").distinct()).select("key", "token")
+
+
+@query
+def abbreviations(spark, sf):
+    n = F.floor(F.col("o_totalprice") * F.col("o_orderkey") / 100).cast("long")
+    return t.table(spark, sf, "orders").select("o_orderkey", n.alias("n"), text.abbreviated(n).alias("short"), text.abbreviated_bytes(n).alias("size"))
+
+
+@query
+def query_decode(spark, sf):
+    """Requests as the service gets them, with encoded names and values."""
+    query = F.concat(F.lit("key="), F.url_encode("c_name"), F.lit("&x%20y=a+b%26c&none&key2="), F.url_encode("c_mktsegment"), F.lit("&key2=%C3%A9"))
+    asked = t.table(spark, sf, "customer").select("c_custkey", text.query_parameters(query).alias("q"))
+    return asked.select("c_custkey", F.col("q")["key"].alias("key"), F.col("q")["x y"].alias("x_y"), F.col("q")["key2"].alias("key2"), F.size("q").cast("long").alias("names"))
+
+
 @query
 def blast_rows(spark, sf):
     return wide.blast(spark, 2000)

@@ -126,7 +126,7 @@ def test_sparse_index_starts_anew(spark):
 
 def test_floor(spark):
     entries = spark.createDataFrame([(1, 10, "a", 100), (1, 20, "b", 200)], "file_id long, token long, key string, at long")
-    keys = spark.createDataFrame([(5, "x"), (10, "a"), (15, "y"), (99, "z")], "token long, key string")
+    keys = spark.createDataFrame([(1, 5, "x"), (1, 10, "a"), (1, 15, "y"), (1, 99, "z")], "file_id long, token long, key string")
     got = lambda **k: {r.key: r["at"] for r in index.floor(keys, entries, "at", **k).collect()}
     assert got() == {"x": None, "a": 100, "y": 100, "z": 200}
     assert got(else_first=True)["x"] == 100
