@@ -25,7 +25,8 @@ CELL = "key string, name string, value string, ts long, flags int, ttl int, seq
 
 @dataclass(frozen=True)
 class Settings:
-    """How a store behaves; the environment gives defaults."""
+    """How a store behaves; the environment gives defaults. Both sync modes get what BATCH
+    promises: a write that has returned is durable."""
 
     strategy: str = field(default_factory=lambda: os.environ.get("COMPACTION_STRATEGY", "STCS").upper())
     sync_mode: str = field(default_factory=lambda: os.environ.get("COMMITLOG_SYNC_MODE", "PERIODIC").upper())

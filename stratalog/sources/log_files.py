@@ -70,6 +70,31 @@ def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
         at += 8 + size
 
 
+def truncated(data: bytes) -> bytes:
+    """A segment without what follows its last good frame; nothing without its header."""
+    if data[: len(MAGIC)] != MAGIC:
+        return b""
+    end = HEADER
+    for at, record in frames(data):
+        end = at + 8 + len(record)
+    return data[:end]
+
+
+def write_segment(spark: SparkSession, folder: str, segment_id: int, records: Iterable[bytes]) -> str:
+    """Write encoded records as one segment, on any Hadoop file system; its path. A log has
+    one writer, so this is the driver's work."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{segment_id}.clog")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(header(segment_id)))
+        for record in records:
+            out.write(bytearray(frame(record)))
+        out.hsync()
+    finally:
+        out.close()
+    return path.toString()
+
+
 def read_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Cells of all *.clog segments below folder, each a task's work; the segment's number
     is in its name, 0 if it is not a number."""

@@ -1,6 +1,9 @@
 """The store, its log files and the stream, end to end."""
 
+import threading
+
 import pytest
+from stratalog.functions.tokens import with_token
 from stratalog.model import CELL, Settings
 from stratalog.operators import catalog
 from stratalog.operators.reconcile import memtable_merge
@@ -62,6 +65,65 @@ def test_log_files(spark, tmp_path):
     assert {(r.name, r.value) for r in out} == {("col1", "hello"), ("col2", "wörld"), ("col3", None)}
 
 
+def test_segments_are_written_and_truncated(spark, tmp_path):
+    records = [lf.encode_record(f"key-{i}", [("v", "x", i, 0, 0)]) for i in range(5)]
+    lf.write_segment(spark, str(tmp_path), 3, records)
+    data = (tmp_path / "3.clog").read_bytes()
+    assert [r.key for r in lf.read_segments(spark, str(tmp_path)).orderBy("offset").collect()] == [f"key-{i}" for i in range(5)]
+    torn = data[:-3]
+    assert lf.truncated(torn) == data[: len(data) - len(lf.frame(records[-1]))] and lf.truncated(data) == data
+    assert lf.truncated(b"no header") == b""
+
+
+def test_a_point_read_opens_only_files_whose_range_holds_the_key(spark, tmp_path):
+    store, rows = CellStore(spark, str(tmp_path)), sorted(with_token(spark.createDataFrame([(f"key-{i}",) for i in range(60)], "key string")).collect(), key=lambda r: r.token)
+    for k in range(0, 60, 20):  # three files of disjoint ranges
+        store.write(spark.createDataFrame([(r.key, "v", "x", 1, 0, 0, i) for i, r in enumerate(rows[k : k + 20])], CELL))
+        store.force_flush()
+    asked, files = store.candidates([rows[30].key])
+    assert [r.file_id for r in files.collect()] == [1]
+    opened = store.read([rows[30].key]).inputFiles()
+    assert {f.split("/data/")[1][:10] for f in opened if "/data/" in f} == {"0000000001"}
+    assert values(store.read([rows[30].key, rows[50].key, "none"])) == {(rows[k].key, "v"): "x" for k in (30, 50)}
+    assert {r.file_id for r in store.index().collect()} == {r.file_id for r in store.summary().collect()} == {0, 1, 2}
+
+
+def test_overwrites_of_one_key_make_a_flush_due(spark, tmp_path):
+    store = CellStore(spark, str(tmp_path), Settings(memtable_bytes=2_000))
+    store.write(spark.createDataFrame([("hot", "v", "x" * 100, i, 0, 0, i) for i in range(5)], CELL))
+    assert not store.flush_due()
+    store.write(spark.createDataFrame([("hot", "v", "x" * 100, i, 0, 0, i) for i in range(20)], CELL))
+    assert store.flush_due()
+
+
+def test_readers_of_an_old_version_go_on_until_the_vacuum(spark, tmp_path):
+    store = CellStore(spark, str(tmp_path))
+    for i in range(4):
+        store.put(f"k{i}", "a", str(i), ts=i + 1)
+        store.force_flush()
+    old = store.read(["k0", "k3"])
+    assert store.compact_once(now=10**15)
+    want = {("k0", "a"): "0", ("k3", "a"): "3"}
+    assert values(old) == want and values(store.read(["k0", "k3"])) == want
+    store.vacuum()
+    assert values(store.read(["k0", "k3"])) == want
+    assert store._names("data") == [4] and store._names("log") == [] and len(store._names("manifest")) == 1
+
+
+def test_the_compaction_loop_outlives_a_failure(spark, tmp_path):
+    store, stop, seen = CellStore(spark, str(tmp_path)), threading.Event(), []
+
+    def failing(now):
+        seen.append(now)
+        if len(seen) == 3:
+            stop.set()
+        raise OSError("no disk")
+
+    store.compact_once = failing
+    store.keep_compacting(stop, every=0.01)
+    assert len(seen) == 3
+
+
 @pytest.fixture
 def parts(spark, sf, tmp_path):
     cells = tables.mutations(spark, sf).select(*[c.split()[0] for c in CELL.split(", ")], "segment_id")
