@@ -48,6 +48,18 @@ def test_chunks_of_a_large_group(docs, monkeypatch):
     assert got(jj.jaccard_join(docs(rows))) == jaccard(rows)
 
 
+def test_a_shingle_that_all_share(docs, monkeypatch):
+    """One passage in every document, in bands of sizes, and no link for it alone."""
+    monkeypatch.setattr(jj, "CHUNK_CLASSES", 4)
+    rng, rows = random.Random(8), []
+    for d in range(60):
+        own = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([3, 10, 14, 19, 40, 60, 90]))]
+        rows.append((d, " ".join(["this passage is in every text", *own])))
+        if d % 3 == 0:
+            rows.append((100 + d, rows[-1][1] + " end"))
+    assert got(jj.jaccard_join(docs(rows))) == jaccard(rows)
+
+
 def test_table(table):
     rows = [(r.doc_id, r.text) for r in table("documents").collect()]
     assert got(jj.jaccard_join(table("documents"))) == jaccard(rows)
