@@ -7,8 +7,10 @@ variable. Templates that recur across enough different texts are dropped.
 
 Leaves reached by too few texts are left out before any line is sent. A leaf with very
 many different lines is grown in salted parts, and the parts' templates are grouped again
-by the same similarity until one part holds them all. Blocks of positions find the
-templates to compare, so a leaf of unlike lines does not take all pairs.
+by the same similarity as long as that at least halves them. The unlike templates that are
+left are filed by the words of one block of positions after the other; files that are still
+too large by those of a block more, until their templates agree at enough positions. Blocks
+of positions find the templates to compare inside a task too, so neither takes all pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, in_bitmap, key_bitmap, lean, written
+from .common import batches, in_bitmap, key_bitmap, lean, looked_up, written
 
 #: Leading tokens on the way to a leaf, share of agreeing positions, and the least
 #: different texts and tokens of a template that is dropped.
@@ -30,7 +32,7 @@ LEADING, ALIKE, LEAST_TEXTS, LEAST_TOKENS = 2, 0.7, 10, 3
 LONG_TOKENS, LONG_TEXTS = 20, 2
 #: Lines and characters that a task gathers before it sends them.
 SEND_LINES, SEND_CHARS = 20_000, 4_000_000
-#: Different lines of a leaf that are grown together at first.
+#: Different lines that are grown together.
 LEAF_LINES = 2_000
 ANY = "<*>"
 
@@ -47,6 +49,11 @@ def key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
 
 
+def needed(n: int, alike: float = ALIKE) -> int:
+    """The least positions of n at which a line agrees with its template."""
+    return next(k for k in range(n + 1) if k / n >= alike or k == n)
+
+
 def grow(lines: list[list[str]], alike: float = ALIKE) -> list[int]:
     """Drain's grouping in one leaf: the number of each line's template, in order."""
     return grown(lines, alike)[0]
@@ -64,7 +71,7 @@ def grown(lines: list[list[str]], alike: float = ALIKE) -> tuple[list[int], list
     words: dict[str, int] = {ANY: 0}
     coded = np.array([[words.setdefault(w, len(words)) for w in line] for line in lines], np.int32)
     n = coded.shape[1]
-    need = next(k for k in range(n + 1) if k / n >= alike or k == n)
+    need = needed(n, alike)
     moving = np.flatnonzero((coded != coded[0]).any(0))  # at the others all agree for ever
     blocks = [b for b in np.array_split(moving, n - need + 1) if len(b)]
     if len(blocks) <= n - need:  # a line may differ at every moving position
@@ -141,31 +148,121 @@ def _templates(group: pa.Table) -> pa.Table:
     return pa.table({"leaf": pa.array(np.full(len(line), group["leaf"][0].as_py())), "line": pa.array(line), "template": pa.array(line[first[found]]), "words": plain})
 
 
+def _agreeing(n: int, path: tuple[int, ...]) -> tuple[list[int], bool] | None:
+    """The positions at which lines of n tokens in one file of a path agree, and whether
+    these are enough for one template; None where n has no such file.
+
+    Lines of a template differ at n - need positions at most, so of one block more that the
+    other positions are cut into, they agree on all of at least one: a path names a block at
+    each step, and files of all paths of a length hold every pair to compare."""
+    agreed, rest, differ = list(range(min(LEADING, n))), list(range(LEADING, n)), n - needed(n)
+    for k in path:
+        if k > differ or len(rest) <= differ:
+            return None
+        taken = np.array_split(rest, differ + 1)[k].tolist()
+        agreed, rest = agreed + taken, [x for x in rest if x not in taken]
+    return agreed, len(rest) <= differ
+
+
+@lean
+def _filed(rows: Iterable[pa.RecordBatch], path: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """(leaf, line, words) with the file of the path but its last step, the file of the
+    whole path, if the lines' length has one, whether this one is enough, and whether a
+    later block is left."""
+    for b in rows:
+        file, inner, closed, more = [], [], [], []
+        for leaf, words in zip(b.column("leaf").to_pylist(), b.column("words").to_pylist(), strict=True):
+            w = words.split(" ")
+            outer, found = _agreeing(len(w), path[:-1]), _agreeing(len(w), path)
+            file.append(key(" ".join([str(leaf), *(w[i] for i in outer[0])])))
+            inner.append(key(" ".join([str(leaf), *(w[i] for i in found[0])])) if found else None)
+            closed.append(bool(found and found[1]))
+            more.append(path[-1] < len(w) - needed(len(w)))
+        new = {"file": (file, pa.int64()), "inner": (inner, pa.int64()), "closed": (closed, pa.bool_()), "more": (more, pa.bool_())}
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("leaf", "line", "words")), *(pa.array(v, t) for v, t in new.values())], names=["leaf", "line", "words", *new])
+
+
+def _one_template(rows: DataFrame) -> DataFrame:
+    """The lines of each (leaf, file), which agree at enough positions, as one template:
+    by aggregation, so a file of any size will do."""
+    at = rows.select("leaf", "file", F.posexplode(F.split("words", " ", -1)).alias("at", "word"))
+    at = at.groupBy("leaf", "file", "at").agg(F.min("word").alias("word"), F.max("word").alias("other"))
+    at = at.withColumn("word", F.when(F.col("word") == F.col("other"), F.col("word")).otherwise(ANY))
+    words = at.groupBy("leaf", "file").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("words"))
+    first = rows.groupBy("leaf", "file").agg(F.min("line").alias("template"))
+    plain = words.join(first, ["leaf", "file"]).select("leaf", "file", "template", F.array_join("words.word", " ").alias("words"))
+    return rows.select("leaf", "file", "line").join(plain, ["leaf", "file"]).select("leaf", "line", "template", "words")
+
+
+def _renamed(done: DataFrame, step: DataFrame) -> DataFrame:
+    """(leaf, line, template), after a step that gave templates new templates."""
+    later = step.where("line <> template").select("leaf", F.col("line").alias("template"), F.col("template").alias("last"))
+    return done.join(later, ["leaf", "template"], "left").select("leaf", "line", F.coalesce("last", "template").alias("template"))
+
+
+def _left(step: DataFrame) -> DataFrame:
+    return step.groupBy("leaf", F.col("template").alias("line")).agg(F.first("words").alias("words"))
+
+
+def _settled(done: DataFrame, items: DataFrame, path: tuple[int, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """done and items (leaf, line, words), after all items of a file of the path that share
+    a block more met. A file of at most LEAF_LINES is grown whole by one task; a larger one
+    by further blocks, or, where its lines agree at enough positions, by aggregation."""
+    over, block = None, 0
+    while True:
+        here = (*path, block)
+        filed = items.mapInArrow(lambda it, here=here: _filed(it, here), "leaf long, line long, words string, file long, inner long, closed boolean, more boolean")
+        filed = written(filed, "line-filed")
+        large = filed.groupBy("file").agg(F.count("*").alias("held")).where(F.col("held") > LEAF_LINES)
+        filed = looked_up(filed, large, "file", "line").withColumn("small", F.col("held").isNull())
+        filed = filed.withColumn("file", F.when(F.col("small"), F.col("file")).otherwise(F.col("inner"))).drop("held", "inner")
+        large = filed.where("file is not null and not small").groupBy("file").agg(F.count("*").alias("held")).where(F.col("held") > LEAF_LINES)
+        filed = written(looked_up(filed, large, "file", "line"), "line-filed")
+        whole = filed.where("held is null and file is not null").withColumn("open", F.lit(True)).groupBy("leaf", "file").applyInArrow(_templates, "leaf long, line long, template long, words string")
+        step = written(whole.unionByName(_one_template(filed.where("held is not null and closed"))), "line-templates")
+        done = written(_renamed(done, step), "line-done")
+        # Small files are through; the others go on to the next block.
+        through = filed.where("small").select("leaf", "line")
+        now = _left(step)
+        ended, going = now.join(through, ["leaf", "line"], "left_semi"), now.join(through, ["leaf", "line"], "left_anti")
+        over = ended if over is None else over.unionByName(ended)
+        going = going.unionByName(filed.where("file is null").select("leaf", "line", "words"))
+        deeper = filed.where("held is not null and not closed").select("leaf", "line", "words")
+        if deeper.take(1):
+            done, deeper = _settled(done, deeper, here)
+            going = going.unionByName(deeper)
+        items = written(going, "line-items")
+        if not filed.where("more and not small").take(1) or not items.take(1):
+            return done, over.unionByName(items)
+        block += 1
+
+
 def _grown(different: DataFrame) -> DataFrame:
     """(leaf, line, template) of (leaf, line, words): leaves of many lines in salted parts,
-    whose templates are grouped again, in parts as long as these at least halve them."""
-    done, last, items = None, None, different
+    whose templates are grouped again, in parts as long as these at least halve them, and
+    then file by file."""
+    done, last, items, unlike = None, None, different, None
     while True:
         sizes = items.groupBy("leaf").agg(F.count("*").alias("size"))
-        parts = F.ceil(F.col("size") / LEAF_LINES)
+        halved = F.lit(True)
         if last is not None:
             sizes = sizes.join(last.select("leaf", F.col("size").alias("before")), "leaf")
-            parts = F.when(F.col("size") * 2 <= F.col("before"), parts).otherwise(1)
-        sizes = written(sizes.withColumn("parts", parts.cast("long")), "line-sizes")
-        dealt = items.join(sizes.select("leaf", "parts"), "leaf").withColumn("part", F.expr("pmod(xxhash64(line, parts), parts)")).withColumn("open", F.col("parts") > 1)
+            halved = (F.col("size") * 2 <= F.col("before")) | (F.col("size") <= LEAF_LINES)
+        sizes = written(sizes.select("*", F.ceil(F.col("size") / LEAF_LINES).cast("long").alias("parts"), halved.alias("halved")), "line-sizes")
+        if last is not None and sizes.where("not halved").take(1):
+            rest = items.join(sizes.where("not halved").select("leaf"), "leaf", "left_semi")
+            unlike = rest if unlike is None else unlike.unionByName(rest)
+        last = sizes.where("halved and parts > 1")
+        dealt = items.join(sizes.where("halved").select("leaf", "parts"), "leaf")
+        dealt = dealt.withColumn("part", F.expr("pmod(xxhash64(line, parts), parts)")).withColumn("open", F.col("parts") > 1)
         step = dealt.groupBy("leaf", "part").applyInArrow(_templates, "leaf long, line long, template long, words string")
         step = written(step, "line-templates")
-        here = step.select("leaf", "line", "template")
-        if done is None:
-            done = here
-        else:
-            later = here.select("leaf", F.col("line").alias("template"), F.col("template").alias("last"))
-            done = done.join(later, ["leaf", "template"], "left").select("leaf", "line", F.coalesce("last", "template").alias("template"))
-        last = sizes.where("parts > 1")
+        done = step.select("leaf", "line", "template") if done is None else _renamed(done, step)
         if not last.take(1):
-            return done
-        items = step.where("words is not null").groupBy("leaf", F.col("template").alias("line")).agg(F.first("words").alias("words"))
+            break
+        items = _left(step.where("words is not null"))
         done = written(done, "line-done")
+    return done if unlike is None else _settled(written(done, "line-done"), written(unlike, "line-items"))[0]
 
 
 def line_dedup(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_tokens: int = LEAST_TOKENS) -> DataFrame:

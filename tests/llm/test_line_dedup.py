@@ -116,3 +116,45 @@ def test_grow_compares_with_every_near_template():
                 stack.append(line)
             want.append(best)
         assert ld.grown(lines) == (want, stack)
+
+
+def test_every_near_pair_shares_a_file():
+    """At each depth two lines of one template meet in some file, until files are closed."""
+    rng = random.Random(5)
+    for n in (3, 4, 5, 8, 10, 17, 30):
+        differ = n - ld.needed(n)
+        for _ in range(20):
+            apart, paths = set(rng.sample(range(ld.LEADING, n), min(differ, n - ld.LEADING))), [()]
+            while paths:
+                found = {p: ld._agreeing(n, p) for q in paths for k in range(differ + 1) if (p := (*q, k))}
+                meet = {p: f for p, f in found.items() if f and not apart & set(f[0])}
+                assert meet and all(f[1] == (len(f[0]) >= ld.needed(n)) for f in meet.values())
+                paths = [] if any(f[1] for f in meet.values()) else sorted(meet)[:1]
+
+
+def test_leaves_of_unlike_lines_stay_in_small_groups(docs, monkeypatch):
+    """More unlike lines than a task grows, among them a template and a file of one block."""
+    rng, made = random.Random(7), ld._templates
+    word = lambda: "".join(rng.choice("bcdfgh") for _ in range(9))
+    own = [" ".join(["we", "see", *(word() for _ in range(6))]) for _ in range(60)]
+    block = [" ".join(["we", "see", "this", "very", *(word() for _ in range(4))]) for _ in range(60)]
+    log = [f"we see this very user {word()} come in" for _ in range(60)]
+    rows = [(d, f"{own[d]}\n{block[d]}\n{log[d]}") for d in range(60)]
+    want = got(ld.line_dedup(docs(rows)))
+    assert [d for d in want if "come in" in want[d][0]] == [0] and all(v[2] == (d > 0) for d, v in want.items())
+
+    def bounded(group):
+        assert group.num_rows <= 60, "a task holds a leaf of unlike lines"
+        return made(group)
+
+    monkeypatch.setattr(ld, "LEAF_LINES", 20)
+    monkeypatch.setattr(ld, "_templates", bounded)
+    assert got(ld.line_dedup(docs(rows))) == want
+
+
+def test_closed_files_by_aggregation(spark):
+    rows = [(1, 5, 30, "a b c x e"), (1, 5, 10, "a b c y e"), (1, 5, 20, "a b c x e"), (1, 6, 40, "a b d x e"), (2, 5, 50, "p q <*> s t")]
+    out = ld._one_template(spark.createDataFrame(rows, "leaf long, file long, line long, words string")).collect()
+    assert {(r.leaf, r.line): (r.template, r.words) for r in out} == {
+        (1, 30): (10, "a b c <*> e"), (1, 10): (10, "a b c <*> e"), (1, 20): (10, "a b c <*> e"), (1, 40): (40, "a b d x e"), (2, 50): (50, "p q <*> s t"),
+    }
