@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +25,12 @@ from .common import _BASE, _BASE_INVERSE, _BYTE, batches, in_bitmap, kept_powers
 
 LENGTH, GRAM = 50, 20
 WINDOWS = LENGTH - GRAM + 1
-#: Buckets of the bitmap of shared files (a prime, 16 MB), text of one suffix array, and
+#: Bits of a place in the bitmap of shared files (64 MB), text of one suffix array, and
 #: segments of a file beyond which its windows are dealt out singly.
-FILES, ARRAY_BYTES, HOT_FILE = 134_217_689, 2 << 20, 10_000
-EMIT = 1 << 17
+FILE_BITS, ARRAY_BYTES, HOT_FILE = 29, 2 << 20, 10_000
+#: Segments sent at once, files noted at once, bytes of text whose files meet in a task, and
+#: bytes of parts cut at once.
+EMIT, NOTED, TASK_BYTES, CUT_BYTES = 1 << 17, 1 << 20, 16 << 20, 4 << 20
 
 def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(file, content hash, first window, windows) of each segment of a document."""
@@ -63,28 +66,28 @@ def _typed(text: np.ndarray) -> np.ndarray:
     differs = np.flatnonzero(text[1:] != text[:-1])
     smaller = np.zeros(n, bool)
     if len(differs):
-        at = np.searchsorted(differs, np.arange(n))
-        inner = at < len(differs)
-        d = differs[at[inner]]
-        smaller[inner] = text[d] < text[d + 1]
+        smaller[: differs[-1] + 1] = np.repeat(text[differs] < text[differs + 1], np.diff(differs, prepend=-1))
     return smaller
 
 
+def _words(text: np.ndarray, n: int) -> np.ndarray:
+    """The eight values from each of n places on as one number; zeros follow the text."""
+    padded = np.concatenate([text, np.zeros(n + 8 - len(text), np.uint8)])
+    return np.ndarray(n, ">u8", padded, strides=(1,)).astype(np.uint64)
+
+
 def suffix_array(text: np.ndarray, deep: int = 56) -> np.ndarray:
     """Starts of the suffixes of text (uint8) in the order of their first `deep` values
     at least; a multiple of 8."""
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64)
-    padded = np.concatenate([text, np.zeros(deep + 8, np.uint8)])
-    word = np.zeros(n + deep, np.uint64)
-    for k in range(8):
-        word = (word << np.uint64(8)) | padded[k : n + deep + k]
+    word = _words(text, n + deep)
     smaller = _typed(text)
     # Stage one: sort the suffixes that are smaller than their successors, word by word,
-    # going on only with ties.
+    # going on only with ties, of which only groups that are out of order move.
     order = np.flatnonzero(smaller)
-    order = order[np.argsort(word[order], kind="stable")]
+    order = order[np.argsort(word[order])]
     new = np.ones(len(order), bool)
     new[1:] = word[order[1:]] != word[order[:-1]]
     for d in range(8, deep, 8):
@@ -93,14 +96,19 @@ def suffix_array(text: np.ndarray, deep: int = 56) -> np.ndarray:
         at = np.flatnonzero(tied)
         if not len(at):
             break
-        group = np.cumsum(new)[at]
+        group = np.cumsum(new[at]) - 1
         own = order[at]
-        own = own[np.lexsort((word[own + d], group))]
-        order[at] = own
-        same = np.zeros(len(order), bool)
-        same[at[1:]] = (group[1:] == group[:-1]) & (word[own[1:] + d] == word[own[:-1] + d]) & (np.diff(at) == 1)
-        new &= ~same
-        new[at] = ~same[at]
+        value = word[own + d]
+        together = group[1:] == group[:-1]
+        down = np.flatnonzero(together & (value[1:] < value[:-1]))
+        if len(down):
+            moves = np.zeros(group[-1] + 1, bool)
+            moves[group[down]] = True
+            moved = np.flatnonzero(moves[group])
+            by = moved[np.lexsort((value[moved], group[moved]))]
+            own[moved], value[moved] = own[by], value[by]
+            order[at] = own
+        new[at[1:]] = ~(together & (value[1:] == value[:-1]))
     # Stage two: scan the buckets of first values upwards; each suffix places the one
     # before it, if that is greater than its successor, next in the bucket of its value.
     bounds = np.searchsorted(text[order], np.arange(257))
@@ -131,34 +139,41 @@ def suffix_array(text: np.ndarray, deep: int = 56) -> np.ndarray:
 
 def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = LENGTH) -> np.ndarray:
     """Lengths, up to most, of the common prefixes of the suffixes at a and b."""
-    padded = np.concatenate([text, np.zeros(most, np.uint8)])
-    length, alive = np.zeros(len(a), np.int64), np.arange(len(a))
-    for k in range(most):
-        alive = alive[padded[a[alive] + k] == padded[b[alive] + k]]
+    word = _words(text, len(text) + most)
+    length, alive = np.full(len(a), most), np.arange(len(a))
+    for k in range(0, most, 8):
+        differ = word[a[alive] + k] ^ word[b[alive] + k]
+        ends = differ != 0
+        same = sum((differ[ends] < np.uint64(1 << 8 * j)).astype(np.int64) for j in range(1, 8))
+        length[alive[ends]] = np.minimum(k + same, most)
+        alive = alive[~ends]
         if not len(alive):
             break
-        length[alive] += 1
     return length
 
 
-def repeats(parts: list[bytes], owner: np.ndarray) -> list[np.ndarray]:
-    """For each part, the starts of its 50-byte strings that also start in a part with a
+def repeats(data: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of parts given by their bytes (uint8, one part after another), sizes and owners: the
+    runs (part, first, count) of starts of 50-byte strings that also start in a part with a
     smaller owner. No byte of a part may be 0xFF (there is none in UTF-8)."""
-    sizes = np.array([len(p) for p in parts])
-    text = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8) + np.uint8(1)  # 0 parts them
     first = np.cumsum(sizes + 1) - sizes - 1
+    inside = np.ones(len(data) + len(sizes), bool)
+    inside[first + sizes] = False
+    text = np.zeros(len(inside), np.uint8)  # 0 parts them
+    text[inside] = data + np.uint8(1)
+    part_at = np.repeat(np.arange(len(sizes)), sizes + 1)
+    starts = np.arange(len(text)) <= (first + sizes - LENGTH)[part_at]
     array = suffix_array(text)
-    part = np.searchsorted(first, array, side="right") - 1
-    whole = array - first[part] <= sizes[part] - LENGTH
-    array, part = array[whole], part[whole]
+    array = array[starts[array]]
     if not len(array):
-        return [np.zeros(0, np.int64) for _ in parts]
+        return array, array, array
     new = np.concatenate(([True], common_prefixes(text, array[:-1], array[1:]) < LENGTH))
-    lowest = np.minimum.reduceat(owner[part], np.flatnonzero(new))[np.cumsum(new) - 1]
-    hit = lowest < owner[part]
-    at = np.sort(array[hit])
-    part = np.searchsorted(first, at, side="right") - 1
-    return np.split(at - first[part], np.searchsorted(part, np.arange(1, len(parts))))
+    own = owner[part_at[array]]
+    lowest = np.minimum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1]
+    hit = np.zeros(len(text), bool)
+    hit[array[lowest < own]] = True
+    at, count = _runs(np.flatnonzero(hit))  # parts end with places that are no starts
+    return part_at[at], at - first[part_at[at]], count
 
 
 def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,37 +185,105 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate(([0], cut, [len(starts)])))
 
 
-@lean
-def _emit(rows: Iterable[pa.RecordBatch], reps: np.ndarray, files: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Without files: (h, doc_id) of all segments. With: (h, s, doc_id, t, lo, n) of those
-    whose file may be shared. Texts that the task has read with a smaller id are left out."""
+def _unseen(rows: Iterable[pa.RecordBatch], reps: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(doc_id, t, text) of the texts of 50 bytes or more, but of those that the task has
+    read with a smaller id."""
     seen: dict[int, int] = {}
-    held, size = [], 0
-
-    def out() -> pa.RecordBatch:
-        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-        names = ("h", "doc_id") if files is None else ("h", "s", "doc_id", "t", "lo", "n")
-        return batches({k: (c.view(np.int64), pa.int64()) for k, c in zip(names, cols, strict=True)})
-
     for b in rows:
         docs, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
         for i in np.flatnonzero(in_bitmap(reps, docs)):
             doc, key, data = docs[i], keys[i], b.column(2)[int(i)].as_buffer().to_pybytes()
-            if len(data) < LENGTH or seen.setdefault(key, doc) < doc:
-                continue
-            seen[key] = doc
-            h, s, lo, n = segments(data)
-            if files is None:
-                h = np.unique(h)
-                held.append((h, np.full(len(h), doc)))
-            else:
-                k = in_bitmap(files, h.view(np.int64), FILES)
-                t = np.full(k.sum(), key)
-                held.append((h[k], s[k], np.full(k.sum(), doc), t, lo[k], n[k]))
-            size += len(held[-1][0])
-            if size >= EMIT:
-                yield out()
-                held, size = [], 0
+            if len(data) >= LENGTH and seen.setdefault(key, doc) >= doc:
+                seen[key] = doc
+                yield doc, key, data
+
+
+def _ends(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, with their smallest and largest doc."""
+    order = np.argsort(key)
+    key, doc = key[order], doc[order]
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[start], np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
+
+
+@lean
+def _files(rows: Iterable[pa.RecordBatch], reps: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """(p, part): the files of the segments, as spread keys and then the documents of each,
+    by the first bits of the key. Of a file's documents read at once, the smallest and the
+    largest are sent."""
+    held, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        key, low, high = _ends(mixed(np.concatenate([h for h, _ in held])), np.repeat([d for _, d in held], [len(h) for h, _ in held]))
+        times = 1 + (low != high)
+        doc = np.repeat(low, times)
+        doc[np.cumsum(times) - 1] = high
+        key = np.repeat(key, times)
+        edge = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1)) if bits else np.array([0, len(key)])
+        some = np.flatnonzero(np.diff(edge))
+        parts = [key[edge[p] : edge[p + 1]].tobytes() + doc[edge[p] : edge[p + 1]].tobytes() for p in some]
+        return batches({"p": (some, pa.int64()), "part": (parts, pa.binary())})
+
+    for doc, _, data in _unseen(rows, reps):
+        held.append((segments(data)[0], doc))
+        size += len(held[-1][0])
+        if size >= NOTED:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
+@lean
+def _shared_files(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, bits) of (p, part): the words of the bitmap that has the files of two or more
+    documents, sorted and packed. All files of a word have the same p."""
+    found = [np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1) for b in rows for x in b.column(1)]
+    if found:
+        key, low, high = _ends(*(np.concatenate([f[k] for f in found]) for k in (0, 1)))
+        del found
+        at = np.sort(key[low < high].view(np.uint64)) >> np.uint64(64 - FILE_BITS)
+        if len(at):
+            word = at >> np.uint64(6)
+            start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), start)
+            packed = pa.compress(np.diff(word[start].astype(np.uint32), prepend=np.uint32(0)).tobytes(), codec="zstd", asbytes=True)
+            yield batches({"k": ([len(start)], pa.int64()), "w": ([packed], pa.binary()), "bits": ([pa.compress(bits.tobytes(), codec="zstd", asbytes=True)], pa.binary())})
+
+
+def shared_files(known: DataFrame, reps: Broadcast, n_bytes: int) -> np.ndarray:
+    """The bitmap of the files with segments of two or more documents: a clear bit proves
+    that a file is not shared. (file, document) pairs travel as few large rows, so many
+    parts of the files to each task that these are about even."""
+    tasks = max(1, n_bytes // TASK_BYTES)
+    bits = min(FILE_BITS - 6, (4 * tasks - 1).bit_length())
+    noted = known.mapInArrow(lambda it: _files(it, reps.value, bits), "p long, part binary").repartition(tasks, "p")
+    words = np.zeros(1 << FILE_BITS - 6, np.uint64)
+    got = noted.mapInArrow(_shared_files, "k long, w binary, bits binary").toArrow()
+    for k, w, b in zip(got["k"].to_pylist(), got["w"], got["bits"], strict=True):
+        at = np.cumsum(np.frombuffer(pa.decompress(w.as_buffer(), 4 * k, codec="zstd"), np.uint32), dtype=np.uint32)
+        words[at] = np.frombuffer(pa.decompress(b.as_buffer(), 8 * k, codec="zstd"), np.uint64)
+    return words
+
+
+@lean
+def _emit(rows: Iterable[pa.RecordBatch], reps: np.ndarray, files: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(h, s, doc_id, t, lo, n) of the segments whose file may be shared."""
+    held, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        return batches({k: (c.view(np.int64), pa.int64()) for k, c in zip(("h", "s", "doc_id", "t", "lo", "n"), cols, strict=True)})
+
+    for doc, key, data in _unseen(rows, reps):
+        h, s, lo, n = segments(data)
+        at = mixed(h) >> np.uint64(64 - FILE_BITS)
+        k = np.flatnonzero((files[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+        held.append((h[k], s[k], np.full(len(k), doc), np.full(len(k), key), lo[k], n[k]))
+        size += len(k)
+        if size >= EMIT:
+            yield out()
+            held, size = [], 0
     if held:
         yield out()
 
@@ -242,26 +325,36 @@ def _cut_segments(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket key, doc_id, t, lo, part) of the asked segments of each text; those of hot
     files window by window, filed by the hash of the window."""
     for b in rows:
-        for doc, t, text, asked in zip(*(b.column(k) for k in range(4)), strict=True):
-            data, key, at, part = text.as_buffer().to_pybytes(), [], [], []
-            for a in asked.as_py():
-                if a["hot"]:
-                    for lo in range(a["lo"], a["lo"] + a["n"]):
-                        w = data[lo : lo + LENGTH]
-                        key.append(int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)), at.append(lo), part.append(w)
-                else:
-                    key.append(a["h"]), at.append(a["lo"]), part.append(data[a["lo"] : a["lo"] + a["n"] + LENGTH - 1])
-            k = len(key)
-            yield batches({"h": (key, pa.int64()), "doc_id": ([doc.as_py()] * k, pa.int64()), "t": ([t.as_py()] * k, pa.int64()), "lo": (at, pa.int64()), "part": (part, pa.binary())})
+        doc, t = (b.column(k).to_numpy() for k in (0, 1))
+        text, asked = b.column(2), b.column(3)
+        data, byte = np.frombuffer(text.buffers()[2] or b"", np.uint8), np.frombuffer(text.buffers()[1], np.int32)[text.offset :]
+        place = asked.offsets.to_numpy()
+        h, lo, n, hot = (c.to_numpy(zero_copy_only=False)[place[0] : place[-1]] for c in asked.values.flatten())
+        times = np.where(hot, n, 1)
+        of = np.repeat(np.arange(len(h)), times)
+        row = np.repeat(np.arange(b.num_rows), np.diff(place))[of]
+        lo = lo[of] + np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+        size, key = np.where(hot, LENGTH, n + LENGTH - 1)[of], h[of]
+        start, end = byte[row] + lo, np.cumsum(size)
+        for i in np.flatnonzero(hot[of]):
+            key[i] = int.from_bytes(hashlib.blake2b(data[start[i] : start[i] + LENGTH], digest_size=8).digest(), "little", signed=True)
+        cuts = np.unique(np.concatenate(([0], np.searchsorted(end, np.arange(CUT_BYTES, end[-1] if len(end) else 0, CUT_BYTES)), [len(of)])))
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            z, here = size[low:high], slice(low, high)
+            edge = np.concatenate(([0], np.cumsum(z)))
+            at = np.repeat(start[here] - edge[:-1], z) + np.arange(edge[-1])
+            part = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(data[at])])
+            columns = {"h": key[here], "doc_id": doc[row[here]], "t": t[row[here]], "lo": lo[here]}
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in columns.values()), part], [*columns, "part"])
 
 
 def _array_repeats(group: pa.Table) -> pa.Table:
     doc, t, lo = (group[k].to_numpy() for k in ("doc_id", "t", "lo"))
-    out = []
-    for i, starts in enumerate(repeats(group["part"].to_pylist(), doc)):
-        for first, n in zip(*_runs(starts), strict=True):
-            out.append((doc[i], t[i], lo[i] + first, n))
-    return pa.table([pa.array([o[k] for o in out], pa.int64()) for k in range(4)], names=["doc_id", "t", "lo", "n"])
+    parts = [c for c in group["part"].chunks if len(c)]
+    edges = [np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1] for c in parts]
+    data = [np.frombuffer(c.buffers()[2], np.uint8)[e[0] : e[-1]] for c, e in zip(parts, edges, strict=True)]
+    part, first, count = repeats(np.concatenate(data), np.concatenate([np.diff(e) for e in edges]).astype(np.int64), doc)
+    return pa.table({"doc_id": doc[part], "t": t[part], "lo": lo[part] + first, "n": count})
 
 
 @lean
@@ -301,8 +394,8 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     known = rows.where("doc_id is not null")
     reps = spark.sparkContext.broadcast(key_bitmap(mine.where("doc_id = low"), "doc_id"))
 
-    files = known.mapInArrow(lambda it: _emit(it, reps.value, None), "h long, doc_id long").groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
-    held = spark.sparkContext.broadcast(key_bitmap(files, "h", FILES))
+    total = mine.agg(F.sum("n_bytes")).first()[0] or 0
+    held = spark.sparkContext.broadcast(shared_files(known, reps, total))
     found = known.mapInArrow(lambda it: _emit(it, reps.value, held.value), "h long, s long, doc_id long, t long, lo long, n long")
     found = found.repartition("h").sortWithinPartitions("h", "s", "doc_id").mapInArrow(_match, "h long, s long, doc_id long, t long, lo long, n long, whole boolean")
     found = written(found, "suffix-segments")

@@ -74,3 +74,51 @@ def test_batches_of_a_file_are_carried():
     one = lambda rs: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rs], pa.int64()) for k in range(6)], names)
     flat = lambda bs: sorted(tuple(r.values()) for b in sd._match(iter(bs)) for r in b.to_pylist())
     assert flat([one(rows)]) == flat([one([r]) for r in rows]) == flat([one(rows[:4]), one([]), one(rows[4:])])
+
+
+def test_repeats_against_plain():
+    rng = random.Random(5)
+    rows = [t.encode() for _, t in texts(11, 60) if t] + [b"", b"a" * 49, b"a" * 200]
+    owner = np.array([rng.randrange(20) for _ in rows])
+    lowest = {}
+    for d, x in zip(owner.tolist(), rows, strict=True):
+        for i in range(len(x) - 49):
+            lowest[x[i : i + 50]] = min(lowest.get(x[i : i + 50], d), d)
+    want = {(k, i) for k, x in enumerate(rows) for i in range(len(x) - 49) if lowest[x[i : i + 50]] < owner[k]}
+    runs = list(zip(*sd.repeats(np.frombuffer(b"".join(rows), np.uint8), np.array([len(x) for x in rows]), owner), strict=True))
+    assert {(k, f + i) for k, f, n in runs for i in range(n)} == want and want
+    assert all((k, f - 1) not in want and (k, f + n) not in want for k, f, n in runs)
+
+
+def test_shared_files_are_those_of_two_documents(spark, docs, monkeypatch):
+    """Also where a file's documents are read in several goes and its bits meet in several
+    tasks. A clear bit for every other file is what keeps the work in proportion."""
+    monkeypatch.setattr(sd, "NOTED", 300)
+    monkeypatch.setattr(sd, "TASK_BYTES", 4000)
+    rows = texts(3, 60)
+    of = {}
+    for d, t in rows:
+        for h in sd.segments(t.encode())[0].tolist():
+            of.setdefault(h, set()).add(d)
+    place = lambda h: int(sd.mixed(np.array([h], np.uint64))[0]) >> 64 - sd.FILE_BITS
+    known = docs(rows).selectExpr("doc_id", "xxhash64(text) t", "cast(text as binary) text").repartition(3)
+    reps = spark.sparkContext.broadcast(sd.key_bitmap(known, "doc_id"))
+    words = sd.shared_files(known, reps, sum(len(t.encode()) for _, t in rows))
+    got = {int(w) * 64 + k for w in np.flatnonzero(words) for k in range(64) if int(words[w]) >> k & 1}
+    assert got == {place(h) for h, ds in of.items() if len(ds) > 1} and len(got) < len(of)
+    # Room for the shared files of 6 GB (33 million at the rate of the 0.5 GB table): the
+    # bitmap must rule out nine in ten of the others.
+    assert 33e6 / (64 * len(words)) < 0.1
+
+
+def test_cut_segments(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(sd, "CUT_BYTES", 100)
+    data = [bytes(range(32, 126)) * 2, b"x" * 60, b"y" * 70]
+    asked = [[(7, 3, 10, False), (8, 5, 2, True)], [], [(9, 0, 21, False)]]
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("hot", pa.bool_())]))
+    one = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([11, 12, 13]), pa.array(data, pa.binary()), pa.array([[dict(zip(("h", "lo", "n", "hot"), a, strict=True)) for a in x] for x in asked], kind)], ["doc_id", "t", "text", "asked"])
+    got = [tuple(r.values()) for b in sd._cut_segments(iter([one, one.slice(2), one.slice(1, 1)])) for r in b.to_pylist()]
+    assert [g[1:] for g in got] == [(1, 11, 3, data[0][3:62]), (1, 11, 5, data[0][5:55]), (1, 11, 6, data[0][6:56])] + [(3, 13, 0, data[2])] * 2
+    assert [got[k][0] for k in (0, 3, 4)] == [7, 9, 9] and got[1][0] != got[2][0]
