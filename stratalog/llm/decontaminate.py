@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages become TF-IDF vectors over hashed words. A distributed randomised SVD of the
-benchmark's passages and a bounded sample of the corpus's gives a latent space. The
+Passages and texts become TF-IDF vectors over hashed words. A distributed randomised SVD of
+the benchmark's passages and all texts of the corpus gives a latent space. The
 share of a window's squared weights that lies in words of the benchmark tells how like a
 passage it can be; running sums give that share for every window of every document, and
 those with enough (an approximation, whose recall is measured) are folded into the space
@@ -10,13 +10,13 @@ common subsequence of words and by a check that the answer (the end of the passa
 there too, which lets paraphrases through but not chance likeness.
 
 The benchmark is a stated query set against all rows: it is held in blocks of a fixed
-size, each of which is one pass over the documents. The space is fitted on a bounded
-sample; document frequencies, windows, candidates and checks cover every row and text.
+size, each of which is one pass over the documents. Document frequencies, the space,
+windows, candidates and checks cover every row and text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,9 +28,11 @@ from .common import batches, lean, shared, text_pieces, text_rows, word_hashes,
 
 #: Word buckets (a prime), latent dimensions, surplus and power rounds of the SVD.
 BUCKETS, RANK, SURPLUS, ROUNDS = 16_381, 48, 16, 2
-#: Bound of the corpus sample for the space, words of a passage at most, passages of a
-#: block of the benchmark, and words that are folded in at once.
-FIT_DOCUMENTS, PASSAGE_WORDS, BLOCK_PASSAGES, FOLD_WORDS = 4_000, 64, 4_096, 16_384
+#: Words of a passage at most, passages of a block of the benchmark, and words that are
+#: folded in at once.
+PASSAGE_WORDS, BLOCK_PASSAGES, FOLD_WORDS = 64, 4_096, 16_384
+#: Buckets that travel together in a product, pieces of text whose counts are held in a row.
+CHUNK, HELD_PIECES = 256, 8
 #: Least share of squared weights in words of the benchmark, least cosine of a candidate
 #: as a share of the passage's own with its image, and least shares of the passage and of
 #: its answer in what is reported.
@@ -83,13 +85,51 @@ def passages_of(items: Iterable[tuple[int, str | None]]) -> list[Passage]:
     return out
 
 
-def _sparse(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at, n = np.unique((hashes % np.uint64(BUCKETS)).astype(np.int64), return_counts=True)
-    v = n * idf[at]
-    return at, v / max(1e-9, np.sqrt((v * v).sum()))
+_BAGS = "texts long, held long, at binary, n binary, size binary"
+Vectors = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def document_frequency(rows: DataFrame) -> tuple[np.ndarray, int]:
+def _bags(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts given as word hashes, one text after another: the distinct buckets of each,
+    how often they stand there, and how many each text has."""
+    texts = len(first) - 1
+    key = (h % np.uint64(BUCKETS)).astype(np.int64) + np.repeat(np.arange(texts) * BUCKETS, np.diff(first))
+    if texts * BUCKETS < 1 << 31:
+        key = key.astype(np.int32)
+    key.sort()
+    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    n, key = np.diff(np.append(new, len(key))), key[new]
+    of = key // BUCKETS
+    return (key - of * BUCKETS).astype(np.uint16), n.astype(np.uint32), np.bincount(of, minlength=texts).astype(np.uint32)
+
+
+def _packed(bags: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict:
+    """A row of _BAGS."""
+    at, n, size = (np.concatenate(x) for x in zip(*bags, strict=True))
+    parts = {k: pa.compress(x.tobytes(), codec="zstd", asbytes=True) for k, x in (("at", at), ("n", n), ("size", size))}
+    return {"texts": len(size), "held": len(at)} | parts
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    kinds = (("at", np.uint16, "held"), ("n", np.uint32, "held"), ("size", np.uint32, "texts"))
+    return tuple(np.frombuffer(pa.decompress(row[k], row[many] * np.dtype(t).itemsize, codec="zstd"), t) for k, t, many in kinds)
+
+
+@lean
+def _count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _BAGS of (text)."""
+    names = ("texts", "held", "at", "n", "size")
+    kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 3)
+    for b in it:
+        held = []
+        for p in text_pieces(b.column(0), plain):
+            held.append(_bags(p.hashes, p.first))
+            if len(held) == HELD_PIECES or p.number + len(p.first) - 1 == b.num_rows:
+                row, held = _packed(held), []
+                yield batches({c: ([row[c]], t) for c, t in zip(names, kinds, strict=True)})
+
+
+def document_frequency(bags: DataFrame) -> tuple[np.ndarray, int]:
     """Documents that hold a word of each bucket, over all documents; BUCKETS + 1 rows
     come to the driver."""
 
@@ -97,45 +137,72 @@ def document_frequency(rows: DataFrame) -> tuple[np.ndarray, int]:
     def count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS + 1, np.int64)
         for b in it:
-            for p in text_pieces(b.column(0), plain):
-                at, of = (p.hashes % np.uint64(BUCKETS)).astype(np.int64), np.repeat(np.arange(len(p.first) - 1), np.diff(p.first))
-                total[:-1] += np.bincount(np.unique(of * BUCKETS + at) % BUCKETS, minlength=BUCKETS)
-                total[-1] += len(p.first) - 1
+            for row in b.to_pylist():
+                total[:-1] += np.bincount(_unpacked(row)[0], minlength=BUCKETS)
+                total[-1] += row["texts"]
         yield batches({"at": (np.arange(BUCKETS + 1), pa.int64()), "n": (total, pa.int64())})
 
-    got = rows.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    got = bags.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(BUCKETS + 1, np.int64)
     df[got["at"].to_numpy()] = got["n"].to_numpy()
     return df[:-1], int(df[-1])
 
 
-def randomised_svd(vectors: DataFrame, rank: int = RANK, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(right singular vectors, singular values) of the sparse rows (at array<int>, value
-    array<float>): subspace iteration on A'A, one distributed product per round, each
-    task sending one BUCKETS x (rank + SURPLUS) matrix."""
+def _vectors(b: pa.RecordBatch) -> Vectors:
+    """Those of (at array<int>, value array<float>) rows."""
+    at, value = (b.column(k).flatten().to_numpy() for k in (0, 1))
+    yield at, value, np.diff(b.column(0).offsets.to_numpy())
+
+
+def randomised_svd(vectors: DataFrame, rank: int = RANK, seed: int = 7, read: Callable[[pa.RecordBatch], Vectors] = _vectors) -> tuple[np.ndarray, np.ndarray]:
+    """(right singular vectors, singular values) of sparse rows, which `read` takes from
+    the batches of a table as (buckets, values, how many each row has): subspace iteration
+    on A'A, one distributed product per round. Each task sends one BUCKETS x (rank +
+    SURPLUS) matrix, by chunks, whose sums over all tasks come to the driver."""
     context = vectors.sparkSession.sparkContext
 
     def product(q: np.ndarray, gram: bool = False) -> np.ndarray:
         sent = context.broadcast(q.astype(np.float32))
+        shape = (q.shape[1], q.shape[1]) if gram else q.shape
 
         @lean
         def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = sent.value
-            out = np.zeros((q.shape[1], q.shape[1]) if gram else q.shape, np.float32)
+            q, out, some = sent.value, np.zeros(shape), False
+            place = np.zeros(len(q), np.int64)
             for b in it:
-                for at, value in zip(b.column(0), b.column(1), strict=True):
-                    i, v = at.values.to_numpy(), value.values.to_numpy()
-                    y = v @ q[i]
-                    if gram:
-                        out += np.outer(y, y)
-                    else:
-                        out[i] += np.outer(v, y)
-            yield batches({"part": ([out.tobytes()], pa.binary())})
-
-        parts = vectors.mapInArrow(run, "part binary").toArrow()["part"]
+                for at, value, size in read(b):
+                    size, some = size[size > 0].astype(np.int64), True
+                    edge = np.concatenate(([0], np.cumsum(size)))
+                    # Some rows at once, dense in the buckets that they hold.
+                    step = int(np.clip(len(at) // max(1, len(size)), 64, 512))
+                    for low in range(0, len(size), step):
+                        n = size[low : low + step]
+                        here = slice(edge[low], edge[low + len(n)])
+                        hold = np.zeros(len(q), bool)
+                        hold[at[here]] = True
+                        used = np.flatnonzero(hold)
+                        place[used] = np.arange(len(used))
+                        dense = np.zeros((len(n), len(used)), np.float32)
+                        dense[np.repeat(np.arange(len(n)), n), place[at[here]]] = value[here]
+                        y = dense @ q[used]
+                        if gram:
+                            out += y.T @ y
+                        else:
+                            out[used] += dense.T @ y
+            if some:
+                at = range(0, len(out), CHUNK)
+                yield batches({"k": (list(at), pa.int64()), "part": ([out[k : k + CHUNK].astype(np.float32).tobytes() for k in at], pa.binary())})
+
+        def add(group: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(p.as_buffer(), np.float32).astype(np.float64) for p in group["part"])
+            return pa.table({"k": [group["k"][0].as_py()], "part": pa.array([total.tobytes()], pa.binary())})
+
+        got = vectors.mapInArrow(run, "k long, part binary").groupBy("k").applyInArrow(add, "k long, part binary").toArrow()
         sent.destroy()
-        total = sum(np.frombuffer(p.as_buffer(), np.float32).astype(np.float64) for p in parts)
-        return total.reshape((q.shape[1], q.shape[1]) if gram else q.shape)
+        total = np.zeros(shape)
+        for k, part in zip(got["k"].to_pylist(), got["part"], strict=True):
+            total[k : k + CHUNK] = np.frombuffer(part.as_buffer()).reshape(-1, shape[1])
+        return total
 
     q = np.random.default_rng(seed).standard_normal((BUCKETS, rank + SURPLUS))
     q = np.linalg.qr(q)[0]
@@ -196,7 +263,10 @@ class Block:
             total = mass[end] - mass[start]
             may = held[end] - held[start] >= LEAST_MASS * total
             windows.append((members, start[may], end[may], total[may]))
-        found = []
+        found, covered = [], np.zeros(len(at) + 1, np.int64)
+        for _, start, end, _ in windows:
+            covered += np.bincount(start, minlength=len(covered)) - np.bincount(end, minlength=len(covered))
+        covered = np.cumsum(covered[:-1])
         for low in range(0, len(at), FOLD_WORDS):
             folded = None
             for members, start, end, total in windows:
@@ -205,10 +275,13 @@ class Block:
                 if not len(s):
                     continue
                 if folded is None:
-                    part = at[low : low + FOLD_WORDS + PASSAGE_WORDS]
+                    part = np.arange(low, min(low + FOLD_WORDS + PASSAGE_WORDS, len(at)))
+                    part = part[covered[part] > 0]  # every word of these windows
                     folded = np.zeros((len(part) + 1, self.basis.shape[1]))
-                    np.cumsum(self.basis[part], axis=0, out=folded[1:])
-                window = (folded[e - low] - folded[s - low]) / np.sqrt(np.maximum(total[here], 1e-9))[:, None]
+                    folded[1:] = self.basis[at[part]]
+                    np.cumsum(folded, axis=0, out=folded)
+                    place = np.searchsorted(part, np.arange(low, low + FOLD_WORDS + PASSAGE_WORDS + 1))
+                window = (folded[place[e - low]] - folded[place[s - low]]) / np.sqrt(np.maximum(total[here], 1e-9))[:, None]
                 cosine = window.astype(np.float32) @ self.latent[members].T
                 w, p = np.nonzero(cosine >= self.least[members])
                 found.append((members[p], s[w], (e - s)[w], cosine[w, p]))
@@ -258,29 +331,32 @@ class Block:
 
 
 def fit(rows: DataFrame, passages: list[Passage]) -> tuple[np.ndarray, np.ndarray]:
-    """(idf, basis): frequencies over all rows, the space on the passages and the middle
-    passage of about as many documents, FIT_DOCUMENTS at most, taken by their hash."""
+    """(idf, basis): frequencies over all rows, the space on the unit vectors of all
+    passages and of all texts, those of the texts weighing together as much as those of
+    the passages."""
     spark = rows.sparkSession
-    df, n = document_frequency(rows)
+    bags = written(rows.select("text").mapInArrow(_count, _BAGS), "word-counts")
+    df, n = document_frequency(bags)
     idf = np.log((n + 1) / (df + 0.5)).clip(0.01)
-    share = min(FIT_DOCUMENTS, len(passages)) / max(1, n)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < int(share * (1 << 40))).select("text").repartition(4)
     sent = spark.sparkContext.broadcast(idf)
 
-    @lean
-    def vectors(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            got = []
-            for text in b.column(0).to_pylist():
-                h = word_hashes(plain(text))
-                middle = max(0, (len(h) - PASSAGE_WORDS) // 2)
-                got.append(_sparse(h[middle : middle + PASSAGE_WORDS], sent.value))
-            yield batches({"at": ([g[0] for g in got], pa.list_(pa.int32())), "value": ([g[1] for g in got], pa.list_(pa.float32()))})
-
-    kind = "at array<int>, value array<float>"
-    own = [_sparse(p.words, idf) for p in passages]
-    own = spark.createDataFrame([(a.tolist(), v.tolist()) for a, v in own], kind).repartition(4)
-    v, _ = randomised_svd(written(sample.mapInArrow(vectors, kind).unionByName(own), "latent-fit"))
+    def weighed(b: pa.RecordBatch) -> Vectors:
+        for row in b.to_pylist():
+            at, n, size = _unpacked(row)
+            size = size.astype(np.int64)
+            value = n * sent.value[at]
+            some = size[size > 0]
+            if len(some):
+                norm = np.sqrt(np.add.reduceat(value * value, np.cumsum(some) - some))
+                yield at, (value * np.repeat(row["weight"] / norm, some)).astype(np.float32), size
+
+    own = []
+    for k in range(0, len(passages), 512):
+        words = [p.words for p in passages[k : k + 512]]
+        own.append(_packed([_bags(np.concatenate(words), np.concatenate(([0], np.cumsum([len(w) for w in words]))))]) | {"weight": 1.0})
+    own = spark.createDataFrame(own, f"{_BAGS}, weight double")
+    texts = bags.withColumn("weight", F.lit(float(np.sqrt(len(passages) / max(1, n)))))
+    v, _ = randomised_svd(texts.unionByName(own), read=weighed)
     return idf.astype(np.float32), (v * idf[:, None]).astype(np.float32)
 
 
