@@ -5,8 +5,8 @@ word's start and end marked). Below the highest order both classes back off to t
 continuation counts, of five bytes down to one, so a rare expression that neither class
 knows better scores the same in both. A word's evidence is its toxic less its ordinary
 log-likelihood, divided by its length, above a margin; a document's is the sum over its
-words divided by the root of their number. A logistic curve fitted on a held-back fold
-turns it into a probability.
+words divided by the root of their number. A logistic curve fitted on all labelled rows of
+a held-back fold turns it into a probability.
 
 All labelled rows of the training folds are counted, exactly, by their grams, so the model
 grows with the input. It is held in blocks of a bounded size, which only the distinct words
@@ -16,7 +16,7 @@ can't rule out of the words with evidence, and these are joined.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +28,6 @@ from .common import batches, empty_text, in_bitmap, key_bitmap, lean, only_in_bi
 
 DISCOUNT = 0.75
 MARGIN = 0.8
-#: Bound of the sample on which the curve is fitted.
-CURVE_ROWS = 20_000
 FOLDS, TEST_FOLD, CURVE_FOLD = 5, 0, 4
 #: Words of which a task remembers that it has sent them.
 SENT = 300_000
@@ -58,21 +56,54 @@ def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return gram, np.repeat(np.arange(len(words)), size)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _slopes(x: np.ndarray, y: np.ndarray, times: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The gradient (2) and the curvature (2 x 2, flat) of rows' log-likelihood at w."""
+    a = np.column_stack([x, np.ones(len(x))])
+    p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+    return np.concatenate([a.T @ (times * (y - p)), (a.T @ (a * (times * p * (1 - p))[:, None])).ravel()])
+
+
+def _newton(rows: int, ones: int, slopes: Callable[[np.ndarray], np.ndarray]) -> tuple[float, float]:
     """Logistic curve by Newton's method with a slight ridge; the prior share without x."""
-    if not len(y) or y.min() == y.max():
-        share = (y.sum() + 0.5) / (len(y) + 1)
+    if ones in (0, rows):
+        share = (ones + 0.5) / (rows + 1)
         return 1.0, float(np.log(share / (1 - share)))
-    a, w, keep = np.column_stack([x, np.ones(len(x))]), np.zeros(2), np.diag([1e-3, 1e-3])
+    w, keep = np.zeros(2), np.diag([1e-3, 1e-3])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + keep, a.T @ (y - p) - keep @ w)
+        got = slopes(w)
+        step = np.linalg.solve(got[2:].reshape(2, 2) + keep, got[:2] - keep @ w)
         w += np.clip(step, -20, 20)
         if abs(step).max() < 1e-6:
             break
     return float(w[0]), float(w[1])
 
 
+def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The curve of scores x and labels y (0 or 1)."""
+    return _newton(len(y), int(y.sum()), lambda w: _slopes(x, y, np.ones(len(y)), w))
+
+
+def fitted_curve(scored: DataFrame) -> tuple[float, float]:
+    """fit_curve() of all (raw, toxic) rows, wherever they are: each step of Newton's method
+    is a pass over the distinct ones, of which every task sends six sums."""
+    pairs = scored.groupBy("raw", (F.col("toxic") > 0).cast("double").alias("y")).agg(F.count("*").cast("double").alias("times"))
+    pairs = written(pairs, "curve-rows")
+    rows, ones = pairs.agg(F.sum("times"), F.sum(F.col("times") * F.col("y"))).first()
+
+    def slopes(w: np.ndarray) -> np.ndarray:
+        @lean
+        def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = np.zeros(6)
+            for b in it:
+                got += _slopes(*(c.to_numpy() for c in b.columns), w)
+            yield batches({"got": ([got.tolist()], pa.list_(pa.float64()))})
+
+        got = pairs.mapInArrow(run, "got array<double>").toArrow()["got"].to_pylist()
+        return np.sum(got, axis=0) if got else np.zeros(6)
+
+    return _newton(int(rows or 0), int(ones or 0), slopes)
+
+
 # Words
 
 
@@ -323,11 +354,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, tuple[float, f
     counted = mine.select("text", kind.alias("kind")).mapInArrow(_count_words, "word binary, c0 long, c1 long, c2 long, c3 long")
     words = written(counted.groupBy("word").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(4)]), "words")
     first = train_ratios(words.where("c0 + c1 > 0").select("word", "c0", "c1"))
-    # The sample has CURVE_ROWS ids at most, so it may be broadcast.
-    ids = marks.where(_fold() == CURVE_FOLD).join(text_rows(docs).select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
-    held = _keyed(docs).join(F.broadcast(ids), "doc_id")
-    raw = raw_scores(held, evidence(distinct_words(held), first)).join(ids, "doc_id").select("raw", "toxic").toArrow()
-    curve = fit_curve(raw["raw"].to_numpy(), (raw["toxic"].to_numpy() > 0).astype(float))
+    ids = marks.where(_fold() == CURVE_FOLD)
+    # More than the labelled rows may get through; they meet their labels when scored.
+    held = only_in_bitmap(_keyed(docs).where(_fold() == CURVE_FOLD), "doc_id", key_bitmap(ids, "doc_id"))
+    raw = raw_scores(held, evidence(written(distinct_words(held), "curve-words"), first))
+    curve = fitted_curve(raw.join(ids, "doc_id").select("raw", "toxic"))
     return train_ratios(words.select("word", (F.col("c0") + F.col("c2")).alias("c0"), (F.col("c1") + F.col("c3")).alias("c1"))), curve
 
 

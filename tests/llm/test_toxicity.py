@@ -132,3 +132,22 @@ def test_rows_that_share_an_id_are_judged_by_their_own_text(docs, labels):
     rows += [(None, "zorgle quxfip zorgle"), (None, "thean"), (10_000, "zorgle quxfip zorgle"), (10_000, "thean"), (10_000, "thean")]
     kept = sorted((r.doc_id or 0, r.text) for r in tx.accepted(docs(rows), labels(marks)).collect() if r.doc_id is None or r.doc_id == 10_000)
     assert kept == [(0, "thean"), (10_000, "thean"), (10_000, "thean")]
+
+
+def test_curve_is_fitted_on_the_whole_fold(docs, labels, monkeypatch):
+    """No bound on its rows counts."""
+    monkeypatch.setattr(tx, "CURVE_ROWS", 5, raising=False)
+    rows, marks = corpus(300, seed=4)
+    agrees(rows, marks, docs(rows), labels(marks))
+
+
+def test_curve_of_a_table_is_that_of_its_rows(spark):
+    rng = random.Random(8)
+    rows = [(round(rng.gauss(y, 0.8), 1), y) for y in (0, 1, 0, 0) for _ in range(300)]
+    frame = lambda r: spark.createDataFrame(r, "raw double, toxic int").repartition(3)
+    want = tx.fit_curve(np.array([x for x, _ in rows]), np.array([float(y) for _, y in rows]))
+    assert tx.fitted_curve(frame(rows)) == pytest.approx(want, rel=1e-6)
+    assert tx.fitted_curve(frame([])) == (1.0, 0.0)
+    for y in (0, 1):
+        only = [(float(k), y) for k in range(9)]
+        assert tx.fitted_curve(frame(only)) == tx.fit_curve(np.array([x for x, _ in only]), np.array([float(y)] * 9))
