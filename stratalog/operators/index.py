@@ -63,7 +63,9 @@ def floor(asked: DataFrame, entries: DataFrame, value: str, else_first: bool = F
     run = Window.partitionBy("file_id").orderBy("token", "key", "_ask").rowsBetween(Window.unboundedPreceding, 0)
     found = F.last("_v", ignorenulls=True).over(run)
     if else_first:
-        rest = Window.partitionBy("file_id").orderBy("token", "key", "_ask").rowsBetween(0, Window.unboundedFollowing)
-        found = F.coalesce(found, F.first("_v", ignorenulls=True).over(rest))
+        # where none comes before, the first that follows is the file's first: the same for
+        # all rows and found once (Spark walks a frame that begins at the row anew for each)
+        whole = Window.partitionBy("file_id").orderBy("token", "key", "_ask").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        found = F.coalesce(found, F.first("_v", ignorenulls=True).over(whole))
     return both.withColumn("at", found).where("_ask = 1").select("file_id", "key", F.col("at").alias(value))
 

@@ -1,5 +1,7 @@
 """Golden values and small cases."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 from stratalog import model
@@ -132,6 +134,23 @@ def test_floor(spark):
     assert got(else_first=True)["x"] == 100
 
 
+@pytest.mark.parametrize("else_first", [False, True])
+def test_floor_reads_a_file_once(spark, else_first):
+    """No frame runs from a row to the end of its file: that takes the square of the keys."""
+    n, first = 3000, 1000  # keys by file, and those before its first entry
+    every = spark.range(n).withColumn("file_id", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))))
+    keys = every.select("file_id", F.col("id").alias("token"), F.concat(F.lit("k"), "id").alias("key"))
+    entries = keys.where((F.col("token") >= first) & (F.col("token") % 7 == 0)).withColumn("at", F.col("token") * 10 + F.col("file_id"))
+    got = index.floor(keys, entries, "at", else_first=else_first)
+    lowest = -(-first // 7) * 7
+    at = lambda i, f: i // 7 * 70 + f if i >= lowest else lowest * 10 + f if else_first else None
+    assert {(r.file_id, r.key, r["at"]) for r in got.collect()} == {(f, f"k{i}", at(i, f)) for f in (1, 2) for i in range(n)}
+    assert got.count() == 2 * n
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    begins = re.findall(r"rowframe, ([^,]*), unboundedfollowing", plan)
+    assert "rowframe, unboundedpreceding" in plan and all(b.startswith("unboundedpreceding") for b in begins)
+
+
 def test_log(spark, make):
     rows = make(*[(f"key-{i}", "v", "x", i, 0, 0) for i in range(6)]).withColumn("segment_id", (F.col("seq") / 3).cast("int")).withColumn("bad_crc", F.col("seq") == 4)
     assert [r.seq for r in log.replay_prefix(rows).orderBy("seq").collect()] == [0, 1, 2, 3]
